@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kmerloom.llm import bpe, exact_dedup, line_dedup, media, packing, secrets, token_store
+from kmerloom.llm import bpe, exact_dedup, html_text, line_dedup, media, near_dup, packing, secrets, token_store, toxicity
 from kmerloom.llm.tables import documents, materialise
 
 
@@ -26,21 +26,44 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_table(documents(spark, sf_dir))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_classes(documents(spark, sf_dir))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(materialise(media.media_table(documents(spark, sf_dir)), "media"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_secret_scan, op3_best_fit_packing, op4_line_dedup, op6_token_store, op8_media, op10_prefix_bpe)
+    for f in (
+        op1_exact_dedup,
+        op2_secret_scan,
+        op3_best_fit_packing,
+        op4_line_dedup,
+        op5_toxicity,
+        op6_token_store,
+        op7_near_dedup,
+        op8_media,
+        op9_html_text,
+        op10_prefix_bpe,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
