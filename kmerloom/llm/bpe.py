@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -22,24 +22,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.tokens import Memo, chunks_of, once, share_vocabulary, text_slices
+from kmerloom.llm.tokens import Memo, byte_letters, chunks_of, once, share_vocabulary, text_slices, words_of
 
-# Fixed value: the vocabulary's word pattern.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD_END = "</w>"
-#: Below this code point normalization and word pattern are done here, above it by the vocabulary's own parts.
-_LATIN = "ɐ"
 _PAIRS = 1_000_000
 _NEVER = 1 << 30
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in a byte-level vocabulary, to the byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class SuffixAutomaton:
     """The automaton of all factors of many sequences, with the sequences that end each state's factors."""
 
@@ -102,13 +91,12 @@ class PrefixEncoder:
     """Encodes words of one vocabulary; ``encode`` takes whole texts."""
 
     def __init__(self, vocabulary: str):
-        import regex
         from tokenizers import Tokenizer
 
         model = json.loads(vocabulary)
         vocab, letters = model["model"]["vocab"], byte_letters()
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        self._specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self._specials = re.compile("(" + ("|".join(map(re.escape, self.special)) or "(?!)") + ")")
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         symbols = {t: (letters[t[0]] + 256 * (t[1:] == WORD_END),) for t in vocab if t[0] in letters and t[1:] in ("", WORD_END)}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -123,8 +111,8 @@ class PrefixEncoder:
                 sequences[whole] = sequences[left] + sequences[right]
         self.automaton = SuffixAutomaton(sequences)
         self._fits: dict[int, bool] = {}
-        self._pattern, self._library = regex.compile(WORDS), Tokenizer.from_str(vocabulary)
-        self._from_letters = letters
+        self._library, self._from_letters = Tokenizer.from_str(vocabulary), letters
+        self._special_values = {s: self._value([i]) for s, i in self.special.items()}
         self.words, self.chunks = Memo(self._words), Memo(self._chunks)
 
     def compatible(self, left: int, right: int) -> bool:
@@ -182,29 +170,36 @@ class PrefixEncoder:
             p = back[p]
         return out[::-1]
 
-    def _words(self, words: list[str]) -> Iterator[list[int]]:
+    def _words(self, words: list[str]) -> Iterator[tuple[bytes, str]]:
         for w in words:
             symbols = list(w.encode())
             symbols[-1] += 256
-            yield self.encode_symbols(symbols)
-
-    def split(self, chunk: str) -> list[str]:
-        """The words of one chunk after normalization."""
-        if chunk.isascii():
-            return self._pattern.findall(chunk.lower())
-        if max(chunk) < _LATIN:
-            return self._pattern.findall(unicodedata.normalize("NFC", chunk).lower())
-        text = self._library.normalizer.normalize_str(chunk)
-        pieces = self._library.pre_tokenizer.pre_tokenize_str(text)
-        return [bytes(self._from_letters[c] for c in w).decode() for w, _ in pieces]
+            yield self._value(self.encode_symbols(symbols))
+
+    def _value(self, ids: list[int]) -> tuple[bytes, str]:
+        return array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
+
+    def _asked(self, chunk: str) -> list[str]:
+        """The words of a chunk by the vocabulary's own normalizer and pre-tokenizer; special tokens stand for themselves."""
+        out = []
+        for s in self._specials.split(chunk):
+            if s in self.special:
+                out.append(s)
+            elif s:
+                pieces = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(s))
+                out += [bytes(self._from_letters[c] for c in w).decode() for w, _ in pieces]
+        return out
 
     def _chunks(self, chunks: list[str]) -> Iterator[tuple[bytes, str]]:
-        pieces = [self._specials.split(c) if self._specials and "<" in c else [c] for c in chunks]
-        split = [[w for s in p for w in ([s] if s in self.special else self.split(s) if s else [])] for p in pieces]
-        ids = self.words.ready(set().union(*split).difference(self.special)) if split else {}
+        split = [words_of(c) for c in chunks]
+        split = [self._asked(c) if s is None else s for c, s in zip(chunks, split, strict=True)]
+        ids = self.words.ready({w for s in split for w in s}.difference(self.special))
         for words in split:
-            out = [i for w in words for i in ([self.special[w]] if w in self.special else ids[w])]
-            yield array("I", out).tobytes(), " ".join(map(self.names.__getitem__, out))
+            if len(words) == 1 and words[0] in ids:
+                yield ids[words[0]]
+            else:
+                found = [self._special_values[w] if w in self.special else ids[w] for w in words]
+                yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(ids as little-endian unsigned 32-bit integers, the decoded text) of each text."""

@@ -12,13 +12,19 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 #: Python's split takes these for white space; the vocabulary's patterns do not.
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = re.compile(rf"[^\S{_NOT_SPACE}]+")
+# Fixed value: the vocabulary's word pattern.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORDS = regex.compile(WORDS)
+_LATIN = "\u0250"
 #: Chunks in one generation of a memo; at most two generations are held.
 MEMO = 300_000
 
@@ -69,6 +75,28 @@ class Memo:
         return self.young
 
 
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in a byte-level vocabulary, to the byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def words_of(chunk: str) -> list[str] | None:
+    """The vocabulary's words of one chunk; none where the library itself must be asked.
+
+    Below U+0250 normalization leaves text as it is but for its case.
+    """
+    if not chunk.isascii() and max(chunk) >= _LATIN:
+        return None
+    low = chunk.lower()
+    if low.isalpha():
+        return [low]
+    if low[-1] in ".,;:!?" and low[:-1].isalpha():
+        return [low[:-1], low[-1]]
+    return None if "<|" in chunk else _WORDS.findall(low)
+
+
 class LibraryEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -76,17 +104,35 @@ class LibraryEncoder:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo = Memo(self._encode)
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        from array import array
-
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)] if chunks else []
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self._spaced = Tokenizer.from_str(vocabulary), Tokenizer.from_str(vocabulary)
+        for t in (self.tokenizer, self._spaced):
+            t.no_truncation()
+            t.no_padding()
+        # the same model, fed with words in byte letters that are split already
+        self._spaced.normalizer, self._spaced.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self._letters = {b: c for c, b in byte_letters().items()}
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._ends = ends
+        self.words, self.memo = Memo(self._words), Memo(self._chunks)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        out = []
+        spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._letters) for w in words]
+        for e in self._spaced.encode_batch([" ".join(spelled[i : i + 500]) for i in range(0, len(spelled), 500)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
+            out += [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [words_of(c) for c in chunks]
+        ids = self.words.ready({w for s in split if s for w in s})
+        odd = [c for c, s in zip(chunks, split, strict=True) if s is None]
+        asked = iter(self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else [])
+        return [np.array(next(asked).ids, "<u4").tobytes() if s is None else ids[s[0]] if len(s) == 1 else b"".join([ids[w] for w in s]) for s in split]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         chunked = [chunks_of(t) if t else [] for t in texts]
