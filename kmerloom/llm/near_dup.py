@@ -9,10 +9,10 @@ similarity of the two whole texts is at least 0.8. Classes are the connected
 components of the links.
 
 Equal weighted sets are collapsed before any pairing. Within a band bucket
-every text is first compared with one leader; buckets that still hold several
-classes are gone through again, one text of each class against another class,
-in steps that double, so that the number of pairs stays proportional to the
-number of rows.
+every text is first compared with one leader. Buckets that still hold several
+classes are gone through again, one text of each class against the classes 1,
+2, 4, ... places after it, until no new link turns up; so the number of pairs
+stays near proportional to the number of rows.
 """
 
 from __future__ import annotations
@@ -201,15 +201,14 @@ def components(links: DataFrame) -> DataFrame:
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        next_ = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
-        next_ = materialise(next_, "labels")
-        jump = next_.select(F.col("node").alias("_at"), F.col("label").alias("_to"))
-        jumped = next_.join(jump, next_["label"] == jump["_at"]).select("node", F.least("label", "_to").alias("label"), (F.least("label", "_to") != F.col("was")).alias("moved"))
-        labels = materialise(jumped, "labels")
-        if not labels.where("moved").limit(1).count():
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+        near = both.join(labels.select("node", "label"), both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
+        jump = labels.select(F.col("node").alias("_at"), F.col("label").alias("_to"))
+        new = F.least("label", "near", "_to")
+        moved = labels.join(near, labels["node"] == near["a"]).join(jump, labels["label"] == jump["_at"])
+        labels = materialise(moved.select("node", new.alias("label"), (new != F.col("label")).alias("moved")), "labels")
+        still, labels = labels.where("moved"), labels.select("node", "label")
+        if not still.limit(1).count():
+            return labels
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,24 +230,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tried = materialise(pairs, "pairs")
     links = materialise(verified(tried, docs, idf), "links")
     labels = components(links)
-    step = 1
     while True:
         known = full.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        reps = materialise(known.groupBy("band", "label").agg(F.min("node").alias("node")), "reps")
-        split = reps.groupBy("band").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        most = split.agg(F.max("classes")).first()[0] or 0
-        if step >= most:
-            break
+        reps = known.groupBy("band", "label").agg(F.min("node").alias("node"))
+        # each class of a bucket against the 1st, 2nd, 4th, ... after it, in one step
         inside = Window.partitionBy("band").orderBy("node")
-        chain = reps.join(split, "band").select("band", F.lead("node", step).over(inside).alias("a"), F.col("node").alias("b")).where("a is not null")
-        more = chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        classes = F.count(F.lit(1)).over(Window.partitionBy("band"))
+        ranked = reps.select("band", "node", F.row_number().over(inside).alias("at"), classes.alias("classes")).where("classes > 1")
+        ranked = materialise(ranked, "reps")
+        steps = F.expr("filter(transform(sequence(0, 40), i -> at + shiftleft(1L, i)), x -> x <= classes)")
+        later = ranked.select("band", F.col("node").alias("x"), F.explode(steps).alias("at"))
+        chain = later.join(ranked.select("band", "at", F.col("node").alias("y")), ["band", "at"])
+        more = chain.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = materialise(more, "pairs")
         found = materialise(verified(more, docs, idf), "links")
-        tried = tried.unionByName(more)
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = components(links)
-        step *= 2
+        if not found.limit(1).count():
+            break
+        tried, links = tried.unionByName(more), links.unionByName(found)
+        labels = components(links)
     of_set = sets.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("class_id"))
     classed = signed.join(of_set, ["hi", "lo"], "left").select(
         "doc_id", F.when(F.col("bands").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
