@@ -80,8 +80,10 @@ class Block:
 
 def _dictionary_for(docs: DataFrame, vocabulary: str, width: int) -> bytes:
     """Trained on the SAMPLE_DOCS documents whose hashed ids are smallest."""
-    sample = docs.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE_DOCS).select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).collect()
-    ids = LibraryEncoder(vocabulary).encode([r["text"] for r in sample])
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)  # no texts are sorted
+    heads = docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).join(F.broadcast(ids), "doc_id")
+    texts = sorted(r["text"] or "" for r in heads.dropDuplicates(["doc_id"]).collect())
+    ids = LibraryEncoder(vocabulary).encode(texts)
     return train_dictionary([np.frombuffer(i, "<u4")[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for i in ids if i])
 
 
