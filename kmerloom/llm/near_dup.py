@@ -18,6 +18,7 @@ stays near proportional to the number of rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.llm.tables import materialise
-from kmerloom.llm.tokens import Memo, once, text_slices
+from kmerloom.llm.tokens import once, text_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 5
@@ -35,18 +36,43 @@ WORD_BUCKETS = 1 << 16
 #: Members that one copy of a leader's text is compared with before the next copy.
 PER_LEADER = 256
 _LEVELS = 2048
+_of_process: dict = {}
 
 
-def _word_values(words: list[str]) -> list[bytes]:
-    return [xxhash.xxh3_64_intdigest(w.encode()).to_bytes(8, "little") for w in words]
+#: Words hashed at once; words of more characters are replaced by their digest.
+_BLOCK, _LONG = 1 << 16, 1_000
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte value, and the powers of an odd number and of its inverse, n at least."""
+    known = _of_process.get("powers")
+    if known is None or len(known[1]) < n:
+        base, size = 0x9E3779B97F4A7C15, 1 << max(n - 1, 1).bit_length()
+        table = np.random.default_rng(3).integers(1, 1 << 63, 256, np.uint64)
+        raised = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64)), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        known = _of_process["powers"] = (table, *raised)
+    return known
+
+
+def _hash_block(words: list[str]) -> np.ndarray:
+    """A polynomial in each word's bytes, from sums over all bytes before its end and its start."""
+    data = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)
+    table, power, inverse = _powers(len(data))
+    ends = np.flatnonzero(data == 32)
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(table[data] * power[: len(data)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(texts: list[str]) -> list[np.ndarray]:
     """64-bit hashes of the lower-cased words of each text."""
-    memo = once(("words",), lambda: Memo(_word_values))
     chunked = [t.lower().split() for t in texts]
-    known = memo.ready(set().union(*chunked))
-    return [np.frombuffer(b"".join(map(known.__getitem__, c)), "<u8") for c in chunked]
+    flat = list(chain.from_iterable(chunked))
+    if max(map(len, flat), default=0) > _LONG:
+        flat = [w if len(w) <= _LONG else xxhash.xxh3_128_hexdigest(w.encode()) for w in flat]
+    hashes = np.concatenate([np.empty(0, np.uint64), *(_hash_block(flat[i : i + _BLOCK]) for i in range(0, len(flat), _BLOCK))])
+    return np.split(hashes, np.cumsum([len(c) for c in chunked])[:-1])[: len(texts)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,7 +161,8 @@ def word_idf(docs: DataFrame) -> np.ndarray:
         counts, n = np.zeros(WORD_BUCKETS, np.int64), 0
         for _, texts in text_slices(batches, "text"):
             for words in word_hashes(texts):
-                counts[np.unique((words % np.uint64(WORD_BUCKETS)).astype(np.int64))] += 1
+                at = np.sort((words % np.uint64(WORD_BUCKETS)).astype(np.uint16))
+                counts[at[np.flatnonzero(np.diff(at.astype(np.int32), prepend=-1))]] += 1
                 n += 1
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([*held, -1], pa.int64()), pa.array([*counts[held], n], pa.int64())], names=["bucket", "n"])
