@@ -195,10 +195,15 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The (a, b) whose texts are similar enough; a is a leader that many pairs may share."""
+def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, first: bool = False) -> DataFrame:
+    """The (a, b) whose texts are similar enough; a is a leader that many pairs may share.
+
+    The first pairs grow with the documents, so their texts are always joined
+    by a shuffle; later ones are few and Spark may send them out.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(idf)
     texts = docs.select(F.col("doc_id").alias("_id"), "text")
+    texts = texts.hint("merge") if first else texts
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_LEADER).cast("int").alias("shares"))
     members = pairs.join(shares, "a").select("a", "b", F.pmod(F.hash("b"), F.col("shares")).alias("share"))
     members = members.join(texts, members["b"] == texts["_id"]).select("a", "share", "b", "text")
@@ -255,7 +260,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     full = materialise(banded.join(leaders, "band").select("band", "node", "leader"), "buckets")
     pairs = full.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialise(pairs, "pairs")
-    links = materialise(verified(tried, docs, idf), "links")
+    # all later passes read the texts of rows that share a bucket, not those of all documents
+    met = full.select("node").distinct()
+    docs = materialise(docs.join(met.hint("merge"), docs["doc_id"] == met["node"], "left_semi"), "candidates")
+    links = materialise(verified(tried, docs, idf, first=True), "links")
     labels = components(links)
     while True:
         known = full.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
