@@ -11,8 +11,10 @@ components of the links.
 Equal weighted sets are collapsed before any pairing. Within a band bucket
 every text is first compared with one leader. Buckets that still hold several
 classes are gone through again, one text of each class against the classes 1,
-2, 4, ... places after it, until no new link turns up; so the number of pairs
-stays near proportional to the number of rows.
+2, 4, ... places after it in the order of total weight, until no new link turns
+up; so the number of pairs stays near proportional to the number of rows. Two
+texts whose total weights differ by more than the similarity allows are never
+compared: they cannot be similar enough.
 """
 
 from __future__ import annotations
@@ -175,24 +177,26 @@ def word_idf(docs: DataFrame) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """(doc_id, hi, lo, bands): a 128-bit hash of the weighted set and its band values, none without words."""
+    """(doc_id, hi, lo, mass, bands): a 128-bit hash of the weighted set, its total weight and its band values, none without words."""
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = once(("sampler",), WeightedSampler)
         for batch, texts in text_slices(batches, "text"):
-            his, los, bands = [], [], []
+            his, los, masses, bands = [], [], [], []
             for words in word_hashes(texts):
                 h, w = weighted_shingles(words, sent.value)
                 whole = xxhash.xxh3_128_digest(h.tobytes() + w.tobytes())
                 his.append(int.from_bytes(whole[:8], "little", signed=True))
                 los.append(int.from_bytes(whole[8:], "little", signed=True))
+                masses.append(float(w.sum(dtype=np.float64)))
                 bands.append(sampler.bands(h, w).tolist() if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "hi", "lo", "bands"]
+                [batch.column(0), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(masses, pa.float64()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["doc_id", "hi", "lo", "mass", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, mass double, bands array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, first: bool = False) -> DataFrame:
@@ -243,6 +247,21 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def joined_classes(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, label) of ``labels`` after more links, by components of classes and not of their members."""
+    of_a, of_b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab")
+    ends = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    up = components(ends)
+    to = up.select(F.col("node").alias("_from"), F.col("label").alias("_to"))
+    moved = labels.join(to, labels["label"] == to["_from"], "left").select("node", F.coalesce("_to", "label").alias("label"))
+    return materialise(moved.unionByName(up.join(labels, "node", "left_anti")), "labels")
+
+
+def _comparable(a: F.Column, b: F.Column) -> F.Column:
+    """A weighted Jaccard similarity is at most the smaller total weight over the larger."""
+    return F.least(a, b) >= F.greatest(a, b) * (SIMILARITY - 1e-6)
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, class_size, kept) for every document; class_id is the smallest id of its class.
 
@@ -254,11 +273,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     idf = word_idf(docs)
     signed = materialise(signatures(docs, idf), "signatures")
     with_words = signed.where("bands is not null and doc_id is not null")
-    sets = materialise(with_words.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "sets")
-    banded = materialise(sets.select("node", F.explode("bands").alias("band")), "bands")
-    leaders = banded.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    full = materialise(banded.join(leaders, "band").select("band", "node", "leader"), "buckets")
-    pairs = full.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    sets = materialise(with_words.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.min("mass").alias("mass"), F.min("bands").alias("bands")), "sets")
+    banded = materialise(sets.select("node", "mass", F.explode("bands").alias("band")), "bands")
+    leaders = banded.groupBy("band").agg(F.min(F.struct("node", "mass")).alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
+    full = materialise(banded.join(leaders, "band").select("band", "node", "mass", "leader"), "buckets")
+    led = full.where(F.col("node") != F.col("leader.node")).where(_comparable(F.col("mass"), F.col("leader.mass")))
+    pairs = led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialise(pairs, "pairs")
     # all later passes read the texts of rows that share a bucket, not those of all documents
     met = full.select("node").distinct()
@@ -266,23 +286,24 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = materialise(verified(tried, docs, idf, first=True), "links")
     labels = components(links)
     while True:
-        known = full.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        reps = known.groupBy("band", "label").agg(F.min("node").alias("node"))
-        # each class of a bucket against the 1st, 2nd, 4th, ... after it, in one step
-        inside = Window.partitionBy("band").orderBy("node")
+        known = full.join(labels, "node", "left").select("band", "node", "mass", F.coalesce("label", "node").alias("label"))
+        reps = known.groupBy("band", "label").agg(F.min(F.struct("node", "mass")).alias("rep")).select("band", "rep.node", "rep.mass")
+        # each class of a bucket against the 1st, 2nd, 4th, ... after it, in one step, by total weight
+        inside = Window.partitionBy("band").orderBy("mass", "node")
         classes = F.count(F.lit(1)).over(Window.partitionBy("band"))
-        ranked = reps.select("band", "node", F.row_number().over(inside).alias("at"), classes.alias("classes")).where("classes > 1")
+        ranked = reps.select("band", "node", "mass", F.row_number().over(inside).alias("at"), classes.alias("classes")).where("classes > 1")
         ranked = materialise(ranked, "reps")
         steps = F.expr("filter(transform(sequence(0, 40), i -> at + shiftleft(1L, i)), x -> x <= classes)")
-        later = ranked.select("band", F.col("node").alias("x"), F.explode(steps).alias("at"))
-        chain = later.join(ranked.select("band", "at", F.col("node").alias("y")), ["band", "at"])
-        more = chain.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        later = ranked.select("band", F.col("node").alias("x"), F.col("mass").alias("lighter"), F.explode(steps).alias("at"))
+        ranked = ranked.select(F.col("band").alias("_band"), F.col("at").alias("_at"), F.col("node").alias("y"), F.col("mass").alias("heavier"))
+        met = (F.col("band") == F.col("_band")) & (F.col("at") == F.col("_at")) & _comparable(F.col("lighter"), F.col("heavier"))
+        more = later.join(ranked, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         more = materialise(more, "pairs")
         found = materialise(verified(more, docs, idf), "links")
         if not found.limit(1).count():
             break
-        tried, links = tried.unionByName(more), links.unionByName(found)
-        labels = components(links)
+        tried = tried.unionByName(more)
+        labels = joined_classes(labels, found)
     of_set = sets.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("class_id"))
     classed = signed.join(of_set, ["hi", "lo"], "left").select(
         "doc_id", F.when(F.col("bands").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
