@@ -9,7 +9,8 @@ similarity of the two whole texts is at least 0.8. Classes are the connected
 components of the links.
 
 Equal weighted sets are collapsed before any pairing. Within a band bucket
-every text is first compared with one leader. Buckets that still hold several
+every text is first compared with one leader, the text that shares its buckets
+with most others: of many variants of one text it is the one most like all. Buckets that still hold several
 classes are gone through again, one text of each class against the classes 1,
 2, 4, ... places after it in the order of total weight, until no new link turns
 up; so the number of pairs stays near proportional to the number of rows. Two
@@ -262,6 +263,11 @@ def _comparable(a: F.Column, b: F.Column) -> F.Column:
     return F.least(a, b) >= F.greatest(a, b) * (SIMILARITY - 1e-6)
 
 
+def _most_central(*columns: str) -> F.Column:
+    """``columns`` of the row that shares its buckets with most rows, among equals of the smallest node."""
+    return F.max_by(F.struct(*columns), F.struct(F.col("met"), -F.col("node")))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, class_size, kept) for every document; class_id is the smallest id of its class.
 
@@ -275,8 +281,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with_words = signed.where("bands is not null and doc_id is not null")
     sets = materialise(with_words.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.min("mass").alias("mass"), F.min("bands").alias("bands")), "sets")
     banded = materialise(sets.select("node", "mass", F.explode("bands").alias("band")), "bands")
-    leaders = banded.groupBy("band").agg(F.min(F.struct("node", "mass")).alias("leader"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
-    full = materialise(banded.join(leaders, "band").select("band", "node", "mass", "leader"), "buckets")
+    held = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    shared = banded.join(held, "band").withColumn("met", F.sum("held").over(Window.partitionBy("node")))  # BANDS rows a node at most
+    shared = materialise(shared.drop("held"), "shared")
+    leaders = shared.groupBy("band").agg(_most_central("node", "mass").alias("leader"))
+    full = materialise(shared.join(leaders, "band").select("band", "node", "mass", "met", "leader"), "buckets")
     led = full.where(F.col("node") != F.col("leader.node")).where(_comparable(F.col("mass"), F.col("leader.mass")))
     pairs = led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialise(pairs, "pairs")
@@ -284,10 +293,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = full.select("node").distinct()
     docs = materialise(docs.join(met.hint("merge"), docs["doc_id"] == met["node"], "left_semi"), "candidates")
     links = materialise(verified(tried, docs, idf, first=True), "links")
-    labels = components(links)
+    labels, tried = components(links), tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
-        known = full.join(labels, "node", "left").select("band", "node", "mass", F.coalesce("label", "node").alias("label"))
-        reps = known.groupBy("band", "label").agg(F.min(F.struct("node", "mass")).alias("rep")).select("band", "rep.node", "rep.mass")
+        known = full.join(labels, "node", "left").select("band", "node", "mass", "met", F.coalesce("label", "node").alias("label"))
+        reps = known.groupBy("band", "label").agg(_most_central("node", "mass").alias("rep")).select("band", "rep.node", "rep.mass")
         # each class of a bucket against the 1st, 2nd, 4th, ... after it, in one step, by total weight
         inside = Window.partitionBy("band").orderBy("mass", "node")
         classes = F.count(F.lit(1)).over(Window.partitionBy("band"))
