@@ -78,12 +78,12 @@ class Block:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
-def _dictionary_for(docs: DataFrame, vocabulary: str, width: int) -> bytes:
+def _dictionary_for(docs: DataFrame, encoder: LibraryEncoder, width: int) -> bytes:
     """Trained on the SAMPLE_DOCS documents whose hashed ids are smallest."""
     ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)  # no texts are sorted
     heads = docs.select("doc_id", F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).join(F.broadcast(ids), "doc_id")
     texts = sorted(r["text"] or "" for r in heads.dropDuplicates(["doc_id"]).collect())
-    ids = LibraryEncoder(vocabulary).encode(texts)
+    ids = encoder.encode(texts)
     return train_dictionary([np.frombuffer(i, "<u4")[:SAMPLE_IDS].astype(f"<u{width}").tobytes() for i in ids if i])
 
 
@@ -94,13 +94,22 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     shared = share_vocabulary(spark, vocabulary)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    width = 2 if LibraryEncoder(shared.value).tokenizer.get_vocab_size() <= 1 << 16 else 4
-    dictionary = _dictionary_for(rows, shared.value, width)
+    driver = LibraryEncoder(shared.value)
+    width = 2 if driver.tokenizer.get_vocab_size() <= 1 << 16 else 4
+    dictionary = _dictionary_for(rows, driver, width)
     sent = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = library_encoder(shared), TaskContext.get().partitionId()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = library_encoder(shared)
         deflate = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(sent.value), write_content_size=True)
+        end = np.array([END_ID], f"<u{width}").tobytes()
+        for batch, texts in text_slices(batches, "text"):
+            ids = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() + end for i in encoder.encode(texts)]
+            frames, counts = [deflate.compress(i) for i in ids], [len(i) // width for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["doc_id", "tie", "n", "frame"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
         dict_hash, block, before = hashlib.sha256(sent.value).digest(), 0, 0
         doc_ids, frames, counts, held = [], [], [], 0
 
@@ -111,11 +120,9 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("tokens_before", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())]),
             )
 
-        for batch, texts in text_slices(batches, "text"):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(END_ID))
-                frame = deflate.compress(ids.astype(f"<u{width}").tobytes())
-                doc_ids.append(doc_id), frames.append(frame), counts.append(len(ids))
+        for batch in batches:
+            for doc_id, n_ids, frame in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                doc_ids.append(doc_id), frames.append(frame), counts.append(n_ids)
                 held += len(frame)
                 if held >= BLOCK_BYTES:
                     yield flush()
@@ -124,8 +131,10 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if doc_ids:
             yield flush()
 
+    # whole texts are encoded where they are read; only their frames are put in order
+    encoded = materialise(rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(encode, "doc_id long, tie long, n long, frame binary"), "token-frames")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ordered = encoded.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "frame")
     return materialise(ordered.mapInArrow(write, _BLOCKS), "token-blocks"), dictionary
 
 
