@@ -25,6 +25,9 @@ _SPACE = re.compile(rf"[^\S{_NOT_SPACE}]+")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = regex.compile(WORDS)
 _LATIN = "\u0250"
+#: A single mark between a letter and white space: it is a word of its own.
+_MARK = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?!\S)")
+_HIGH = re.compile("[\u0250-\U0010ffff]")
 #: Chunks in one generation of a memo; at most two generations are held.
 MEMO = 300_000
 
@@ -55,6 +58,13 @@ def chunks_of(text: str) -> list[str]:
     return text.split()
 
 
+def pieces_of(text: str) -> list[str]:
+    """Chunks, or parts of chunks that the vocabulary would part too; most of them are single words in lower case."""
+    if "<|" in text or any(c in text for c in _NOT_SPACE) or not text.isascii() and _HIGH.search(text):
+        return chunks_of(text)
+    return _MARK.sub(r" \1", text.lower()).split()
+
+
 class Memo:
     """Values of keys, computed for many keys at once, in two generations of bounded size."""
 
@@ -121,23 +131,30 @@ class LibraryEncoder:
     def _words(self, words: list[str]) -> list[bytes]:
         out = []
         spelled = [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._letters) for w in words]
-        for e in self._spaced.encode_batch([" ".join(spelled[i : i + 500]) for i in range(0, len(spelled), 500)], add_special_tokens=False):
+        for e in self._spaced.encode_batch_fast([" ".join(spelled[i : i + 500]) for i in range(0, len(spelled), 500)], add_special_tokens=False):
             ids = np.array(e.ids, "<u4")
             data, cuts = ids.tobytes(), (4 * (np.flatnonzero(self._ends[ids]) + 1)).tolist()
             out += [data[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
         return out
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [words_of(c) for c in chunks]
-        ids = self.words.ready({w for s in split if s for w in s})
-        odd = [c for c, s in zip(chunks, split, strict=True) if s is None]
-        asked = iter(self.tokenizer.encode_batch(odd, add_special_tokens=False) if odd else [])
-        return [np.array(next(asked).ids, "<u4").tobytes() if s is None else ids[s[0]] if len(s) == 1 else b"".join([ids[w] for w in s]) for s in split]
+        """Ids of chunks; words in lower case are encoded at once, others are split and their words remembered."""
+        plain = [c for c in chunks if c.isalpha() and c.islower() and (c.isascii() or max(c) < _LATIN)]
+        known = dict(zip(plain, self._words(plain), strict=True))
+        split = {c: words_of(c) for c in chunks if c not in known}
+        ids = self.words.ready({w for s in split.values() if s for w in s})
+        odd = [c for c, s in split.items() if s is None]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else [], strict=True):
+            known[c] = np.array(e.ids, "<u4").tobytes()
+        for c, s in split.items():
+            if s is not None:
+                known[c] = ids[s[0]] if len(s) == 1 else b"".join([ids[w] for w in s])
+        return [known[c] for c in chunks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        chunked = [chunks_of(t) if t else [] for t in texts]
-        ids = self.memo.ready(set().union(*chunked))
-        return [b"".join(map(ids.__getitem__, c)) for c in chunked]
+        pieces = [pieces_of(t) if t else [] for t in texts]
+        ids = self.memo.ready(set().union(*pieces))
+        return [b"".join(map(ids.__getitem__, p)) for p in pieces]
 
 
 def library_encoder(vocabulary: Broadcast) -> LibraryEncoder:
