@@ -101,7 +101,7 @@ def write_store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(shared)
-        deflate = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(sent.value), write_content_size=True)
+        deflate = zstandard.ZstdCompressor(level=2, dict_data=zstandard.ZstdCompressionDict(sent.value), write_content_size=True)
         end = np.array([END_ID], f"<u{width}").tobytes()
         for batch, texts in text_slices(batches, "text"):
             ids = [np.frombuffer(i, "<u4").astype(f"<u{width}").tobytes() + end for i in encoder.encode(texts)]

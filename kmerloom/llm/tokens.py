@@ -30,6 +30,8 @@ _MARK = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?!\S)")
 _HIGH = re.compile("[\u0250-\U0010ffff]")
 #: Chunks in one generation of a memo; at most two generations are held.
 MEMO = 300_000
+#: The same for the pieces of texts, most of them words in lower case.
+PIECES = 500_000
 
 _of_process: dict = {}
 
@@ -126,7 +128,7 @@ class LibraryEncoder:
         ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self._ends = ends
-        self.words, self.memo = Memo(self._words), Memo(self._chunks)
+        self.words, self.memo = Memo(self._words), Memo(self._chunks, PIECES)
 
     def _words(self, words: list[str]) -> list[bytes]:
         out = []
