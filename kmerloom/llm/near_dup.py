@@ -10,12 +10,13 @@ components of the links.
 
 Equal weighted sets are collapsed before any pairing. Within a band bucket
 every text is first compared with one leader, the text that shares its buckets
-with most others: of many variants of one text it is the one most like all. Buckets that still hold several
-classes are gone through again, one text of each class against the classes 1,
-2, 4, ... places after it in the order of total weight, until no new link turns
-up; so the number of pairs stays near proportional to the number of rows. Two
-texts whose total weights differ by more than the similarity allows are never
-compared: they cannot be similar enough.
+with most others: of many variants of one text it is the one most like all.
+Then all pairs of a bucket whose texts are still in different classes are
+compared: large buckets are cut into blocks, a pair of blocks is one task's
+cell, and blocks of one class alone never meet. A pair that shares several
+bands is compared in the first of them only. Two texts whose total weights
+differ by more than the similarity allows are never compared: they cannot be
+similar enough.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ BANDS, ROWS = 16, 5
 WORD_BUCKETS = 1 << 16
 #: Members that one copy of a leader's text is compared with before the next copy.
 PER_LEADER = 256
+#: Texts and total weight that one block of a bucket holds about at most.
+BLOCK, BLOCK_MASS = 1024, 1 << 20
 _LEVELS = 2048
 _of_process: dict = {}
 
@@ -200,15 +203,13 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, mass double, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, first: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
     """The (a, b) whose texts are similar enough; a is a leader that many pairs may share.
 
-    The first pairs grow with the documents, so their texts are always joined
-    by a shuffle; later ones are few and Spark may send them out.
+    The pairs grow with the documents, so their texts are always joined by a shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(idf)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text")
-    texts = texts.hint("merge") if first else texts
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").hint("merge")
     shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_LEADER).cast("int").alias("shares"))
     members = pairs.join(shares, "a").select("a", "b", F.pmod(F.hash("b"), F.col("shares")).alias("share"))
     members = members.join(texts, members["b"] == texts["_id"]).select("a", "share", "b", "text")
@@ -233,6 +234,98 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, first: bool = F
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def cells(known: DataFrame) -> DataFrame:
+    """(cell, band, high, node, label): pairs of blocks of each bucket of ``known`` (band, node, mass, label) that holds several classes.
+
+    A class too large for one block has blocks of its own, the others of its
+    bucket share blocks; two texts of different classes meet in exactly one
+    cell of their bucket, from its two blocks or both from its only one.
+    """
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / BLOCK_MASS)).cast("int")
+    classes = known.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("weight")).withColumn("parts", parts)
+    numbered = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.col("label").cast("string").alias("of"), i.alias("part")))
+    small = F.col("parts") == 1
+    buckets = classes.groupBy("band").agg(
+        F.count(F.lit(1)).alias("classes"),
+        F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("n"),
+        F.coalesce(F.sum(F.when(small, F.col("weight"))), F.lit(0.0)).alias("weight"),
+        F.flatten(F.collect_list(F.when(~small, numbered))).alias("own"),
+    )
+    shared = F.expr("if(mixed = 0, array(), sequence(0, mixed - 1))").cast("array<int>")
+    buckets = buckets.where("classes > 1").withColumn("mixed", parts).select("band", "mixed", F.concat("own", F.transform(shared, lambda i: F.struct(F.lit("").alias("of"), i.alias("part")))).alias("blocks"))
+    placed = known.join(buckets, "band").join(classes.select("band", "label", "parts"), ["band", "label"])
+    mine = F.when(F.col("parts") == 1, F.struct(F.lit("").alias("of"), F.pmod(F.hash("label"), F.col("mixed")).alias("part"))).otherwise(
+        F.struct(F.col("label").cast("string").alias("of"), F.pmod(F.hash("node"), F.col("parts")).alias("part"))
+    )
+    meets = F.filter("blocks", lambda x: (x["of"] == "") | (x["of"] != F.col("mine.of")))
+    met = placed.withColumn("mine", mine).select("band", "node", "label", "mine", F.explode(meets).alias("other"))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    cell = F.concat_ws("/", "band", low["of"], low["part"], high["of"], high["part"])
+    return met.select(cell.alias("cell"), "band", (F.col("mine") != low).alias("high"), "node", "label")
+
+
+def cell_links(band: int, rows: list[tuple]) -> list[tuple[int, int]]:
+    """Links between the classes of a cell's rows (node, label, high, bands, weighted set), as many as join what is similar.
+
+    Pairs of one class, and pairs that share an earlier band, are left out.
+    """
+    nodes, labels, sides, bands, sets = zip(*rows, strict=True)
+    label, side, bands = np.unique(labels, return_inverse=True)[1], np.array(sides, bool), np.array(bands)
+    before = bands[:, : int((bands[0] == band).argmax())]
+    at = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)[1]
+    weight, sizes = np.concatenate([w for _, w in sets]), np.array([len(h) for h, _ in sets])
+    mass = np.array([w.sum(dtype=np.float64) for _, w in sets])
+    ends = np.cumsum(sizes)
+    own = np.zeros(at.max() + 1, np.float32)
+    out = []
+    for x in np.flatnonzero(~side) if side.any() else range(len(nodes)):
+        other = side.copy() if side.any() else np.arange(len(nodes)) > x
+        other &= (label != label[x]) & (np.minimum(mass, mass[x]) >= np.maximum(mass, mass[x]) * (SIMILARITY - 1e-6))
+        other &= ~(before == before[x]).any(1)
+        found = np.flatnonzero(other)
+        if not len(found):
+            continue
+        mine, n = slice(ends[x] - sizes[x], ends[x]), sizes[found]
+        first = np.cumsum(n) - n
+        every = np.arange(n.sum()) + np.repeat(ends[found] - n - first, n)
+        own[at[mine]] = weight[mine]
+        low = np.add.reduceat(np.minimum(own[at[every]], weight[every]), first, dtype=np.float64)
+        own[at[mine]] = 0
+        for y in found[low >= (SIMILARITY - 1e-6) * (mass[x] + mass[found] - low)]:
+            if label[y] != label[x] and weighted_jaccard(sets[x], sets[y]) >= SIMILARITY:
+                out.append((nodes[x], nodes[y]))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def crossed(met: DataFrame, sets: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The links (a, b) that the :func:`cells` ``met`` hold, from whole texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(idf)
+    texts = docs.select(F.col("doc_id").alias("_id"), "text").hint("merge")
+    wanted = met.join(sets.select("node", "bands"), "node")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = wanted.join(texts, wanted["node"] == texts["_id"]).select("cell", "band", "high", "node", "label", "bands", "text").repartition(n, "cell").sortWithinPartitions("cell", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        at, band, rows = None, 0, []
+        for batch, texts in text_slices(batches, "text"):
+            out = []
+            columns = (batch.column(i).to_pylist() for i in range(6))
+            for cell, b, high, node, label, bands, words in zip(*columns, word_hashes(texts), strict=True):
+                if cell != at:
+                    out += cell_links(band, rows) if len(rows) > 1 else []
+                    at, band, rows = cell, b, []
+                rows.append((node, label, high, bands, weighted_shingles(words, sent.value)))
+            yield batch_of(out)
+        if len(rows) > 1:
+            yield batch_of(cell_links(band, rows))
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that links lead to, by smallest neighbours and label jumping."""
     both = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
@@ -285,34 +378,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = banded.join(held, "band").withColumn("met", F.sum("held").over(Window.partitionBy("node")))  # BANDS rows a node at most
     shared = materialise(shared.drop("held"), "shared")
     leaders = shared.groupBy("band").agg(_most_central("node", "mass").alias("leader"))
-    full = materialise(shared.join(leaders, "band").select("band", "node", "mass", "met", "leader"), "buckets")
+    full = materialise(shared.join(leaders, "band").select("band", "node", "mass", "leader"), "buckets")
     led = full.where(F.col("node") != F.col("leader.node")).where(_comparable(F.col("mass"), F.col("leader.mass")))
     pairs = led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialise(pairs, "pairs")
-    # all later passes read the texts of rows that share a bucket, not those of all documents
-    met = full.select("node").distinct()
-    docs = materialise(docs.join(met.hint("merge"), docs["doc_id"] == met["node"], "left_semi"), "candidates")
-    links = materialise(verified(tried, docs, idf, first=True), "links")
-    labels, tried = components(links), tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    while True:
-        known = full.join(labels, "node", "left").select("band", "node", "mass", "met", F.coalesce("label", "node").alias("label"))
-        reps = known.groupBy("band", "label").agg(_most_central("node", "mass").alias("rep")).select("band", "rep.node", "rep.mass")
-        # each class of a bucket against the 1st, 2nd, 4th, ... after it, in one step, by total weight
-        inside = Window.partitionBy("band").orderBy("mass", "node")
-        classes = F.count(F.lit(1)).over(Window.partitionBy("band"))
-        ranked = reps.select("band", "node", "mass", F.row_number().over(inside).alias("at"), classes.alias("classes")).where("classes > 1")
-        ranked = materialise(ranked, "reps")
-        steps = F.expr("filter(transform(sequence(0, 40), i -> at + shiftleft(1L, i)), x -> x <= classes)")
-        later = ranked.select("band", F.col("node").alias("x"), F.col("mass").alias("lighter"), F.explode(steps).alias("at"))
-        ranked = ranked.select(F.col("band").alias("_band"), F.col("at").alias("_at"), F.col("node").alias("y"), F.col("mass").alias("heavier"))
-        met = (F.col("band") == F.col("_band")) & (F.col("at") == F.col("_at")) & _comparable(F.col("lighter"), F.col("heavier"))
-        more = later.join(ranked, met).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialise(more, "pairs")
-        found = materialise(verified(more, docs, idf), "links")
-        if not found.limit(1).count():
-            break
-        tried = tried.unionByName(more)
-        labels = joined_classes(labels, found)
+    labels = components(materialise(verified(materialise(pairs, "pairs"), docs, idf), "links"))
+    # a leader has met all of its bucket: what is left are pairs of other members, of different classes
+    known = full.where(F.col("node") != F.col("leader.node")).join(labels, "node", "left").select("band", "node", "mass", F.coalesce("label", "node").alias("label"))
+    met = materialise(cells(materialise(known, "known")), "cells")
+    labels = joined_classes(labels, materialise(crossed(met, sets, docs, idf), "links"))
     of_set = sets.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("class_id"))
     classed = signed.join(of_set, ["hi", "lo"], "left").select(
         "doc_id", F.when(F.col("bands").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")

@@ -320,6 +320,25 @@ def test_near_classes(spark, empty):
     assert near_dup.keep_one(docs).count() == len(size)
 
 
+def test_variants_without_their_base(spark, monkeypatch):
+    """No text of a group is near all others; links lead through many texts."""
+    rnd = random.Random(8)
+    rows = []
+    for g in range(2):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for _ in range(1100 if g else 60):
+            w = list(base)
+            for at in rnd.sample(range(24), 6):
+                w[8 * at + 4] = f"g{g}x{at}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_classes(rows, near_dup.word_idf(docs))
+    for block in (1024, 100):
+        monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
+        got = by_id(near_dup.near_classes(docs), "class_id")
+        assert got == {k: (v,) for k, v in want.items()}
+
+
 def docs_lit(x):
     from pyspark.sql import functions as F
 
