@@ -380,3 +380,21 @@ def test_toxicity(spark, empty):
     kept = toxicity.keep_clean(docs, known)
     assert kept.columns == docs.columns and 600 < kept.count() < 800
     assert toxicity.toxicity_report(empty, known.limit(0)).count() == 0
+
+
+def test_toxic_share_and_thresholds_are_those_of_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 20, 0: 30})
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(1000)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, f"w{i % 7} " + ("bad" if i % 10 == 0 else "good"), "de") for i in range(1000)], "doc_id long, text string, lang string")
+    known = toxicity.known_labels(labels, True)
+    rows = toxicity.training_rows(docs, known)
+    assert sum(y for _, y in rows) == 20 and len(rows) == 50
+    share = np.mean([i % 10 == 0 for i in range(1000) if zlib.crc32(str(i).encode()) % 5])
+    plain = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    shift = 0.5 * (np.log(share / (1 - share)) - np.log(0.4 / 0.6))
+    assert toxicity.train(docs, labels).offset == pytest.approx(plain.offset + shift)
+    # the fitted rows alone would set the threshold at 0.5
+    fitted = {r["doc_id"] for r in toxicity.sampled(known).collect()}
+    scores = [(i, "de", (0.9 if i % 10 == 0 else 0.1) if i in fitted else (0.8 if i % 10 == 0 else 0.69)) for i in range(1000)]
+    scored = spark.createDataFrame(scores, "doc_id long, lang string, s double")
+    assert toxicity.calibrate(scored, labels, "s") == {"de": pytest.approx(0.7)}
