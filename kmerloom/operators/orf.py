@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.nucleotides import CODONS, STARTS, STOPS
 
+# Lengths, distances and numbers of the scoring rules; here and in the functions below they must be as they are.
 MIN_NT, MAX_OVERLAP, NEAR_STARTS, ALTERNATES, ALTERNATE_DROP = 270, 30, 12, 4, 6
 GC_SAMPLE, LEAST_ACGT = 300_000, 0.5
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
@@ -43,6 +44,7 @@ def _div(a: int, b: int) -> int:
 def gc_model(gc: float) -> tuple[int, int, int]:
     """Expected per mille of G and C in the three codon places, in single precision."""
     g, f = np.float32(gc), np.float32
+    # fixed values: slope, intercept, least and largest share of each codon place
     fits = ((0.684392, 0.233505, 0.20, 0.90), (0.432433, 0.183878, 0.15, 0.75), (1.887194, -0.394644, 0.05, 0.98))
     return tuple(int(math.floor(float(min(max(f(a) * g + f(b), f(lo)), f(hi)) * f(1000)) + 0.5)) for a, b, lo, hi in fits)
 
@@ -156,10 +158,10 @@ def adaptive_model(orfs: list[Orf], strands: dict[int, str]) -> list[int] | None
 
 
 def adaptive_score(seq: str, model: list[int]) -> int:
-    counts = _codon_counts(seq)
-    n = int(counts.sum())
+    n = len(seq) // 3  # codons with ambiguous letters count, but add nothing
     if n < 35:
         return 0
+    counts = _codon_counts(seq)
     return min(max(_div(_div(int((counts * np.array(model)).sum()), n), 25), -18), 18)
 
 
@@ -189,8 +191,6 @@ def contig_proteins(seq: str, model: tuple[int, int, int]) -> list[tuple[Orf, st
 
 def genome_composition(contigs: DataFrame) -> DataFrame:
     """(sid, gc, acgt) over the first GC_SAMPLE bases of a genome's contigs in order of contig_id."""
-
-
     size = F.length("seq").cast("long")
     before = F.coalesce(F.sum(size).over(Window.partitionBy("sid").orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     head = contigs.select("sid", "contig_id", "seq").withColumn("left", F.greatest(F.lit(0), F.lit(GC_SAMPLE) - before)).where("left > 0")
@@ -202,7 +202,7 @@ def genome_composition(contigs: DataFrame) -> DataFrame:
 
 
 def predict(contigs: DataFrame) -> DataFrame:
-    """(sid, contig_id, begin, end, strand, score, seq) of the proteins of ``contigs`` (sid, contig_id, seq).
+    """(sid, contig_id, place, begin, end, strand, score, seq) of the proteins of ``contigs`` (sid, contig_id, seq).
 
     Genomes with less than half A, C, G or T are an error.
     """
@@ -212,8 +212,16 @@ def predict(contigs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             out = []
-            for r in pdf.itertuples():
-                out += [(r.sid, r.contig_id, o.begin, o.end, o.strand, o.score, protein) for o, protein in contig_proteins(r.seq or "", gc_model(r.gc))]
-            yield pd.DataFrame(out, columns=["sid", "contig_id", "begin", "end", "strand", "score", "seq"])
+            for sid, contig_id, seq, gc in zip(pdf.sid, pdf.contig_id, pdf.seq, pdf.gc, strict=True):
+                found = enumerate(contig_proteins(seq or "", gc_model(gc)))
+                out += [(sid, contig_id, n, o.begin, o.end, o.strand, o.score, protein) for n, (o, protein) in found]
+            yield pd.DataFrame(out, columns=["sid", "contig_id", "place", "begin", "end", "strand", "score", "seq"])
+
+    return rows.mapInPandas(run, "sid int, contig_id long, place int, begin int, end int, strand int, score int, seq string")
+
 
-    return rows.mapInPandas(run, "sid int, contig_id long, begin int, end int, strand int, score int, seq string")
+def as_proteins(predicted: DataFrame) -> DataFrame:
+    """(sid, protein_id, name, seq): the proteins of each genome numbered through its contigs, in the order they were chosen."""
+    order = Window.partitionBy("sid").orderBy("contig_id", "place")  # the genes of one genome
+    numbered = predicted.withColumn("n", F.row_number().over(order))
+    return numbered.select("sid", (F.col("n") - 1).cast("long").alias("protein_id"), F.concat(F.lit("protein_"), F.col("n").cast("string")).alias("name"), "seq")
