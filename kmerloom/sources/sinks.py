@@ -17,17 +17,21 @@ def output_paths(prefix: str) -> dict[str, Path]:
 
 
 def write_results(prefix: str, names: dict[int, str], alignment: DataFrame, parts: DataFrame, tree: str | None = None) -> tuple[int, float]:
-    """Write the files; (length of the alignment, percent missing over all)."""
+    """Write the files; (length of the alignment, percent missing over all). Rows come to the driver one partition after the other."""
     paths = output_paths(prefix)
-    rows = [(names[r["sid"]], r["seq"]) for r in alignment.orderBy("sid").collect()]
-    paths["alignment"].write_text("".join(f">{n}\n{wrapped(s)}" for n, s in rows))
-    gaps = lambda s: s.count("-") + s.count("X")
-    table = [f"{n}\t{100 * gaps(s) / max(len(s), 1):.1f}\n" for n, s in rows]
-    paths["missing"].write_text("species\tpct_missing\n" + "".join(table))
-    lines = ["start_pos\tend_pos\tlength\tconsensus protein name\n"]
-    lines += [f"{r['start_pos']}\t{r['end_pos']}\t{r['length']}\t{r['label']}\n" for r in parts.orderBy("rank").collect()]
-    paths["partitions"].write_text("".join(lines))
+    length = cells = gaps = 0
+    with paths["alignment"].open("w") as fas, paths["missing"].open("w") as tsv:
+        tsv.write("species\tpct_missing\n")
+        for r in alignment.orderBy("sid").toLocalIterator():
+            seq, name = r["seq"], names[r["sid"]]
+            own = seq.count("-") + seq.count("X")
+            fas.write(f">{name}\n{wrapped(seq)}")
+            tsv.write(f"{name}\t{100 * own / max(len(seq), 1):.1f}\n")
+            length, cells, gaps = length or len(seq), cells + len(seq), gaps + own
+    with paths["partitions"].open("w") as out:
+        out.write("start_pos\tend_pos\tlength\tconsensus protein name\n")
+        for r in parts.orderBy("rank").toLocalIterator():
+            out.write(f"{r['start_pos']}\t{r['end_pos']}\t{r['length']}\t{r['label']}\n")
     if tree is not None:
         paths["tree"].write_text(tree + "\n")
-    cells = sum(len(s) for _, s in rows)
-    return (len(rows[0][1]) if rows else 0), 100 * sum(gaps(s) for _, s in rows) / max(cells, 1)
+    return length, 100 * gaps / max(cells, 1)
