@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kmerloom.functions.recode import recoded, residues
 
 SEGMENT = ["sid", "protein_id", "seg_id"]
+#: Rows of one output batch.
+_ROWS = 1 << 18
 
 
 def segments(proteins: DataFrame, scheme: str = "sr6") -> DataFrame:
@@ -25,17 +33,60 @@ def unpacked(kmer: Column, k: int) -> Column:
     return F.lpad(F.conv(kmer.cast("string"), 10, 8), k, "0")
 
 
+def _rolled(codes: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every k-mer of ``codes``: the number of its code, its start there and its packed value."""
+    sizes = np.array([len(c) for c in codes], np.int64)
+    digits = np.frombuffer("".join(codes).encode(), np.uint8) - np.uint8(ord("0"))
+    n = max(len(digits) - k + 1, 0)
+    value = np.zeros(n, np.int64)
+    for j in range(k):
+        value <<= 3
+        value |= digits[j : j + n]
+    counts = np.maximum(sizes - k + 1, 0)
+    row = np.repeat(np.arange(len(codes)), counts)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return row, start, value[(np.cumsum(sizes) - sizes)[row] + start]
+
+
 def kmer_rows(segs: DataFrame, k: int) -> DataFrame:
     """(sid, protein_id, seg_id, n_hits, start, kmer) of every k-mer of every segment."""
-    n = F.length("code") - k + 1
-    slices = F.transform(F.sequence(F.lit(1), n), lambda i: F.col("code").substr(i, F.lit(k)))
-    rows = segs.where(F.length("code") >= k).select(*SEGMENT, n.alias("n_hits"), F.posexplode(slices).alias("start", "digits"))
-    return rows.select(*SEGMENT, "n_hits", "start", packed(F.col("digits")).alias("kmer"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(3).to_pylist()
+            row, start, value = _rolled(codes, k)
+            n = np.array([len(c) - k + 1 for c in codes], np.int32)
+            for at in range(0, len(row), _ROWS):
+                cut = slice(at, at + _ROWS)
+                ids = [c.take(pa.array(row[cut])) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(n[row[cut]]), pa.array(start[cut].astype(np.int32)), pa.array(value[cut])], names=[*SEGMENT, "n_hits", "start", "kmer"])
+
+    schema = T.StructType([*(segs.schema[c] for c in SEGMENT), T.StructField("n_hits", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("kmer", T.LongType())])
+    return segs.where(F.length("code") >= k).select(*SEGMENT, "code").mapInArrow(run, schema)
+
+
+def distinct_kmers(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(keys, kmer): each k-mer of the ``code`` of a key's rows once; a task sends it once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, _, value = _rolled(batch.column(len(keys)).to_pylist(), k)
+            if len(row):
+                held = pd.DataFrame({n: batch.column(i).to_pandas() for i, n in enumerate(keys)})
+                key, names = held.groupby(keys, sort=False, dropna=False).ngroup().to_numpy(), held.drop_duplicates()
+                order = np.lexsort((value, key[row]))
+                s, v = key[row][order], value[order]
+                first = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (v[1:] != v[:-1])))
+                columns = [pa.array(names[n].to_numpy()[s[first]], batch.schema.field(i).type) for i, n in enumerate(keys)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(v[first])], names=[*keys, "kmer"])
+
+    schema = T.StructType([*(rows.schema[n] for n in keys), T.StructField("kmer", T.LongType())])
+    return rows.where(F.length("code") >= k).select(*keys, "code").mapInArrow(run, schema).distinct()
 
 
 def occupancy(segs: DataFrame, k: int) -> DataFrame:
     """(kmer, occ): the number of species with the k-mer, exact."""
-    return kmer_rows(segs, k).select("sid", "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("occ"))
+    return distinct_kmers(segs, ["sid"], k).groupBy("kmer").agg(F.count(F.lit(1)).alias("occ"))
 
 
 def shared(occ: DataFrame, min_needed: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.functions.recode import recoded
-from kmerloom.operators.kmers import packed
+from kmerloom.operators.kmers import distinct_kmers
 from kmerloom.plans.checkpoints import cut
 
 ORDER = ["coverage desc", "raw_len desc", "lk", "rk"]
@@ -21,9 +21,7 @@ ORDER = ["coverage desc", "raw_len desc", "lk", "rk"]
 
 def overlap_kmers(obs: DataFrame, k: int, scheme: str) -> DataFrame:
     """(lk, rk, kmer) of all selected observations; ``k`` is the overlap length."""
-    code = recoded(F.col("block"), scheme)
-    slices = F.transform(F.sequence(F.lit(1), F.length(code) - k + 1), lambda i: code.substr(i, F.lit(k)))
-    return obs.where(F.length("block") >= k).select("lk", "rk", F.explode(slices).alias("d")).select("lk", "rk", packed(F.col("d")).alias("kmer")).distinct()
+    return distinct_kmers(obs.select("lk", "rk", recoded(F.col("block"), scheme).alias("code")), ["lk", "rk"], k)
 
 
 def nonoverlapping(cands: DataFrame, kmers: DataFrame) -> DataFrame:
@@ -33,8 +31,7 @@ def nonoverlapping(cands: DataFrame, kmers: DataFrame) -> DataFrame:
     won = cands.join(kmers.select("lk", "rk").distinct(), ["lk", "rk"], "left_anti").select(turn)
     while active.limit(1).count():
         first = active.groupBy("kmer").agg(F.min("turn").alias("first"))
-        judged = cut(active.join(first, "kmer"))
-        winners = cut(judged.groupBy("turn").agg(F.bool_and(F.col("turn") == F.col("first")).alias("wins")).where("wins").select("turn"))
+        winners = cut(active.join(first, "kmer").groupBy("turn").agg(F.bool_and(F.col("turn") == F.col("first")).alias("wins")).where("wins").select("turn"))
         won = won.unionByName(winners)
         taken = active.join(winners, "turn", "left_semi").select("kmer").distinct()
         losers = active.join(taken, "kmer", "left_semi").select("turn").distinct()
