@@ -7,14 +7,21 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators.consensus import GROUP, column_majority, column_report, masked_rows
 from kmerloom.params import Params
+from kmerloom.plans.checkpoints import cut
 
+#: Groups that are numbered by one task; ranges of so many about are numbered side by side.
+RANGE = 1 << 16
 
-def kept_columns(cells: DataFrame, groups: DataFrame, p: Params, n_species: int) -> DataFrame:
+
+def kept_columns(rows: DataFrame, groups: DataFrame, p: Params, n_species: int) -> DataFrame:
     """(group, col): middle columns from the first to the last polymorphic one that have enough species, then the tail.
 
-    ``cells`` are complete and masked; groups without such a polymorphic column have no row.
+    ``rows`` are masked; species without a row are missing in all columns of
+    the group. Groups without such a polymorphic column have no row.
     """
-    fine = column_report(cells, p.recode).where(F.col("missing") <= p.max_missing(n_species)).join(groups.select(*GROUP, "raw_len"), GROUP)
+    there = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("there"))
+    absent = F.lit(n_species) - F.col("there")
+    fine = column_report(rows, p.recode).join(groups.select(*GROUP, "raw_len").join(there, GROUP), GROUP).where(F.col("missing") + absent <= p.max_missing(n_species))
     right = F.col("raw_len") - p.k
     middle = fine.where((F.col("col") >= p.k) & (F.col("col") < right))
     ends = middle.where("n_states > 1").groupBy(*GROUP).agg(F.min("col").alias("first"), F.max("col").alias("last"))
@@ -23,37 +30,59 @@ def kept_columns(cells: DataFrame, groups: DataFrame, p: Params, n_species: int)
     return fine.join(ends, GROUP).where(inside | tail).select(*GROUP, "col")
 
 
-def group_columns(cells: DataFrame, groups: DataFrame, p: Params, n_species: int) -> DataFrame:
-    """(group, sid, col, aa) of the columns kept, after masking."""
-    masked = masked_rows(cells, column_majority(cells, p.recode), p.mask, p.recode)
-    return masked.join(kept_columns(masked, groups, p, n_species), [*GROUP, "col"], "left_semi")
+def group_columns(rows: DataFrame, groups: DataFrame, p: Params, n_species: int) -> DataFrame:
+    """(group, sid, seq): the kept columns of each row, after masking."""
+    masked = masked_rows(rows, column_majority(rows, p.recode), p.mask, p.recode)
+    cols = kept_columns(masked, groups, p, n_species).groupBy(*GROUP).agg(F.array_sort(F.collect_list("col")).alias("cols"))  # raw_len at most
+    seq = F.array_join(F.transform("cols", lambda c: F.col("block").substr(c + 1, F.lit(1))), "")
+    return masked.join(cols, GROUP).select(*GROUP, "sid", seq.alias("seq"))
 
 
 def ranked(groups: DataFrame) -> DataFrame:
-    """Groups with their place in candidate order; one row a group, all that the alignment has."""
-    order = Window.orderBy(F.desc("coverage"), F.desc("raw_len"), "lk", "rk")
-    return groups.withColumn("rank", F.row_number().over(order))
+    """Groups with their place in candidate order: ranges of groups are numbered side by side, then shifted by the ranges before."""
+    order = [F.desc("coverage"), F.desc("raw_len"), F.asc("lk"), F.asc("rk")]
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = cut(groups.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))  # ranges are sampled: once
+    local = parted.withColumn("local", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row a range
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = sizes.select("part", before.alias("base"))
+    return local.join(F.broadcast(bases), "part").withColumn("rank", (F.col("base") + F.col("local")).cast("long")).drop("part", "local", "base")
 
 
 def partitions(columns: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rank, start_pos, end_pos, length, label), positions counted from 0, both ends inclusive."""
-    sizes = columns.select(*GROUP, "col").distinct().groupBy(*GROUP).agg(F.count(F.lit(1)).alias("length"))
-    rows = ranked(groups).join(sizes, GROUP).join(labels, GROUP, "left")
-    upto = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum("length").over(upto)
-    return rows.select("rank", (end - F.col("length")).alias("start_pos"), (end - 1).alias("end_pos"), "length", F.coalesce("label", F.lit("")).alias("label"))
+    """(rank, start_pos, end_pos, length, label, and the group), positions counted from 0, both ends inclusive.
+
+    Ranks of groups without kept columns are passed over; positions are summed
+    up within ranges of ranks and over the ranges.
+    """
+    sizes = columns.groupBy(*GROUP).agg(F.max(F.length("seq")).alias("length"))
+    rows = ranked(groups).join(sizes, GROUP).join(labels, GROUP, "left").withColumn("part", F.floor(F.col("rank") / RANGE))
+    upto = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = rows.groupBy("part").agg(F.sum("length").alias("total"))  # one row for RANGE groups
+    before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.withColumn("end", F.sum("length").over(upto)).join(F.broadcast(totals.select("part", before.alias("base"))), "part")
+    end = F.col("base") + F.col("end")
+    return placed.select("rank", (end - F.col("length")).alias("start_pos"), (end - 1).alias("end_pos"), F.col("length").cast("long").alias("length"), F.coalesce("label", F.lit("")).alias("label"), *GROUP)
 
 
-def aligned(columns: DataFrame, groups: DataFrame, species: DataFrame) -> DataFrame:
-    """(sid, seq): the kept columns of all groups in candidate order; an empty string without any."""
-    cells = F.array_sort(F.collect_list(F.struct("rank", "col", "aa")))
-    rows = columns.join(ranked(groups).select(*GROUP, "rank"), GROUP).groupBy("sid").agg(F.array_join(F.transform(cells, lambda x: x["aa"]), "").alias("seq"))
-    return species.select("sid").join(rows, "sid", "left").select("sid", F.coalesce("seq", F.lit("")).alias("seq"))
+def aligned(columns: DataFrame, parts: DataFrame, species: DataFrame) -> DataFrame:
+    """(sid, seq): the kept columns of all groups in candidate order, gaps where a species has no row; empty without any.
+
+    ``parts`` are the :func:`partitions`. A row is one species' alignment, the result itself.
+    """
+    total = parts.agg(F.coalesce(F.max("end_pos") + 1, F.lit(0)).cast("int").alias("total"))
+    piece = F.struct(F.col("start_pos").cast("int").alias("at"), (F.col("end_pos") + 1).cast("int").alias("end"), "seq")
+    own = columns.join(parts.select(*GROUP, "start_pos", "end_pos"), GROUP).groupBy("sid").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    rows = species.select("sid").join(own, "sid", "left").crossJoin(F.broadcast(total))  # the total is one row
+    end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("p", F.greatest(i, F.lit(1)))["end"])
+    filled = F.transform("p", lambda x, i: F.concat(F.repeat(F.lit("-"), x["at"] - end_before(i)), x["seq"]))
+    last = F.when(F.size("p") > 0, F.element_at("p", -1)["end"]).otherwise(0)
+    seq = F.concat(F.array_join(filled, ""), F.repeat(F.lit("-"), F.col("total") - last))
+    return rows.select("sid", F.coalesce(seq, F.repeat(F.lit("-"), F.col("total"))).alias("seq"))
 
 
 def missing_percent(alignment: DataFrame) -> DataFrame:
     """(sid, pct_missing) with gaps and ambiguous residues."""
     gaps = F.length("seq") - F.length(F.translate("seq", "-X", ""))
     return alignment.select("sid", (F.lit(100.0) * gaps / F.greatest(F.length("seq"), F.lit(1))).alias("pct_missing"))
-
-

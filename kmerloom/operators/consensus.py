@@ -1,56 +1,134 @@
-"""Cells of a group's alignment: consensus, majority, divergence, missingness, names."""
+"""Rows of a group's alignment: consensus, majority, divergence, missingness, names.
+
+A row is one string for a group and species, with as many columns as the group
+has. Per column facts are counted batch by batch over the rows' bytes, so what
+is shuffled is a few numbers a column and task and never a row for each residue.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kmerloom.functions.recode import state_or_null
+from kmerloom.functions.recode import LETTERS, states
 
 GROUP = ["lk", "rk"]
+_ROW = [*GROUP, "sid", "block"]
+NO_STATE = "."
 
 
 def is_missing(aa: Column) -> Column:
     return aa.isin("-", "X")
 
 
-def observed_cells(obs: DataFrame) -> DataFrame:
-    """(group, sid, col, aa): per species and column the residue all its observations agree on, else X."""
-    letters = obs.select(*GROUP, "sid", F.posexplode(F.split("block", "")).alias("col", "aa")).where("aa <> ''")
-    return letters.groupBy(*GROUP, "sid", "col").agg(F.min("aa").alias("lo"), F.max("aa").alias("hi")).select(
-        *GROUP, "sid", "col", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("X").alias("aa")
-    )
-
-
-def completed_cells(cells: DataFrame, groups: DataFrame, species: DataFrame) -> DataFrame:
-    """``cells`` with gaps for the species a group lacks; ``groups`` has raw_len, ``species`` the sids."""
-    # groups times species is the alignment itself, n cells a column
-    grid = groups.select(*GROUP, "raw_len").crossJoin(F.broadcast(species.select("sid"))).select(*GROUP, "sid", F.explode(F.sequence(F.lit(0), F.col("raw_len") - 1)).alias("col"))
-    return grid.join(cells, [*GROUP, "sid", "col"], "left").withColumn("aa", F.coalesce("aa", F.lit("-")))
-
-
-def column_majority(cells: DataFrame, scheme: str) -> DataFrame:
-    """(group, col, state): the commonest state, the lowest of equals; columns without valid states have no row."""
-    counted = cells.withColumn("state", state_or_null(F.col("aa"), scheme)).where("state is not null").groupBy(*GROUP, "col", "state").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*GROUP, "col").agg(F.min_by("state", F.struct(-F.col("n"), "state")).alias("state"))
+def observed_rows(obs: DataFrame) -> DataFrame:
+    """(group, sid, block): per species and column the residue all its observations agree on, else X.
 
-
-def masked_rows(cells: DataFrame, majority: DataFrame, mask: int, scheme: str) -> DataFrame:
-    """``cells`` where a row that differs from the majority in ``mask`` columns running is X throughout."""
+    Only where the observations of a species differ are they taken apart.
+    """
+    sides = obs.groupBy(*GROUP, "sid").agg(F.min("block").alias("lo"), F.max("block").alias("hi"))
+    agreed = sides.where("lo = hi").select(*GROUP, "sid", F.col("lo").alias("block"))
+    differ = obs.select(*_ROW).join(sides.where("lo <> hi").select(*GROUP, "sid"), [*GROUP, "sid"], "left_semi")
+    letters = differ.select(*GROUP, "sid", F.posexplode(F.split("block", "")).alias("col", "aa")).where("aa <> ''")
+    cells = letters.groupBy(*GROUP, "sid", "col").agg(F.min("aa").alias("lo"), F.max("aa").alias("hi"))
+    cells = cells.select(*GROUP, "sid", F.struct("col", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("X").alias("aa")).alias("c"))
+    mixed = cells.groupBy(*GROUP, "sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["aa"]), "").alias("block"))
+    return agreed.unionByName(mixed)
+
+
+def _state_table(scheme: str) -> np.ndarray:
+    """The state of each byte, 6 for bytes that are no amino acid."""
+    table = np.full(256, 6, np.uint8)
+    for aa, s in zip(LETTERS, states(scheme), strict=True):
+        table[ord(aa)] = int(s)
+    return table
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """The groups of a batch, and of each residue its group's number, its column and its byte."""
+    keys = pd.DataFrame({k: batch.column(batch.schema.get_field_index(k)).to_pandas() for k in GROUP})
+    blocks = batch.column(batch.schema.get_field_index("block")).to_pylist()
+    number, first = pd.factorize(pd.MultiIndex.from_frame(keys))
+    sizes = np.array([len(b) for b in blocks], np.int64)
+    data = np.frombuffer("".join(blocks).encode("latin-1", "replace"), np.uint8)
+    col = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    groups = first.to_frame(index=False)
+    groups.columns = GROUP
+    return groups, np.repeat(number, sizes), col, data
+
+
+def _counted(rows: DataFrame, scheme: str) -> DataFrame:
+    """(group, col, state, n): residues of each state in a column; 6 for other characters, 7 for gaps and X."""
+    fields = {f.name: f for f in rows.schema.fields}
+    schema = T.StructType([*(fields[k] for k in GROUP), T.StructField("col", T.IntegerType()), T.StructField("state", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _state_table(scheme)
+        table[ord("-")] = table[ord("X")] = 7
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, number, col, data = _flat(batch)
+            width = int(col.max(initial=0)) + 1
+            found, n = np.unique((number * width + col) * 8 + table[data], return_counts=True)
+            at = found // 8 // width
+            keys = [pa.array(groups[k].to_numpy()[at], batch.schema.field(k).type) for k in GROUP]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, pa.array(found // 8 % width, pa.int32()), pa.array(found % 8, pa.int32()), pa.array(n, pa.int64())], names=[*GROUP, "col", "state", "n"]
+            )
+
+    return rows.select(*GROUP, "block").mapInArrow(run, schema).groupBy(*GROUP, "col", "state").agg(F.sum("n").alias("n"))
+
+
+def column_majority(rows: DataFrame, scheme: str) -> DataFrame:
+    """(group, majority): for each column the commonest state, the lowest of equals, or NO_STATE."""
+    best = F.min_by("state", F.struct(F.when(F.col("state") < 6, -F.col("n")).otherwise(1), "state"))
+    each = _counted(rows, scheme).groupBy(*GROUP, "col").agg(best.alias("state"))
+    char = F.when(F.col("state") < 6, F.col("state").cast("string")).otherwise(NO_STATE)
+    ordered = F.array_sort(F.collect_list(F.struct("col", char.alias("s"))))  # one item a column of the group
+    return each.groupBy(*GROUP).agg(F.array_join(F.transform(ordered, lambda c: c["s"]), "").alias("majority"))
+
+
+def masked_rows(rows: DataFrame, majority: DataFrame, mask: int, scheme: str) -> DataFrame:
+    """``rows`` where a row that differs from the majority in ``mask`` columns running is X throughout."""
     if mask == 0:
-        return cells
-    joined = cells.join(majority, [*GROUP, "col"], "left")
-    differs = state_or_null(F.col("aa"), scheme) != F.col("state")
-    flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.when(differs, "1").otherwise("0").alias("f")))), lambda x: x["f"]), "")
-    rows = joined.groupBy(*GROUP, "sid").agg(flags.contains("1" * mask).alias("masked"))
-    return cells.join(rows, [*GROUP, "sid"]).withColumn("aa", F.when(F.col("masked"), "X").otherwise(F.col("aa"))).drop("masked")
-
-
-def column_report(cells: DataFrame, scheme: str) -> DataFrame:
-    """(group, col, missing, n_states) of each column."""
-    return cells.groupBy(*GROUP, "col").agg(
-        F.count_if(is_missing(F.col("aa"))).alias("missing"), F.count_distinct(state_or_null(F.col("aa"), scheme)).alias("n_states")
-    )
+        return rows
+    joined = rows.join(majority, GROUP).select(*_ROW, "majority")
+    schema = T.StructType([f for n in _ROW for f in rows.schema.fields if f.name == n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _state_table(scheme)
+        for batch in batches:
+            blocks, wanted = (batch.column(i).to_pylist() for i in (3, 4))
+            sizes = np.array([len(b) for b in blocks], np.int64)
+            own = table[np.frombuffer("".join(blocks).encode("latin-1", "replace"), np.uint8)]
+            most = np.frombuffer("".join(wanted).encode(), np.uint8)
+            differs = (own < 6) & (most != ord(NO_STATE)) & (own != most - np.uint8(ord("0")))
+            ends = np.cumsum(sizes)
+            run_of = np.append(differs, np.zeros(mask, bool))
+            for j in range(1, mask):
+                run_of[: len(differs)] &= np.append(differs[j:], np.zeros(j, bool))[: len(differs)]
+            starts = np.flatnonzero(run_of[: len(differs)])
+            row = np.searchsorted(ends, starts, "right")
+            hit = np.unique(row[starts + mask <= ends[row]]) if len(starts) else []
+            for i in hit:
+                blocks[i] = "X" * len(blocks[i])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(blocks, pa.string())], names=_ROW)
+
+    return joined.mapInArrow(run, schema)
+
+
+def column_report(rows: DataFrame, scheme: str) -> DataFrame:
+    """(group, col, missing, n_states) of each column, over the rows there are."""
+    counted = _counted(rows, scheme)
+    missing = F.coalesce(F.sum(F.when(F.col("state") == 7, F.col("n"))), F.lit(0))
+    return counted.groupBy(*GROUP, "col").agg(missing.alias("missing"), F.count_if(F.col("state") < 6).alias("n_states"))
 
 
 def consensus_names(named: DataFrame) -> DataFrame:
@@ -58,7 +136,7 @@ def consensus_names(named: DataFrame) -> DataFrame:
 
     The record id is dropped. A word counts once a name, at its first place,
     and stays if half the names have it; words follow their mean place, then
-    where they were first seen.
+    where they were first seen. Mean places are compared exactly, as fractions.
     """
     rest = F.trim(F.regexp_replace(F.trim("name"), "^\\S+", ""))
     at = F.struct("sid", "protein_id", "seg_id", "start")
@@ -67,6 +145,12 @@ def consensus_names(named: DataFrame) -> DataFrame:
     once = words.groupBy(*GROUP, "at", "word").agg(F.min("pos").alias("pos"))
     total = names.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"))
     votes = once.groupBy(*GROUP, "word").agg(F.count(F.lit(1)).alias("c"), F.sum("pos").alias("places"), F.min(F.struct("at", "pos")).alias("seen"))
-    kept = votes.join(total, GROUP).where(2 * F.col("c") >= F.col("n"))
-    ordered = F.array_sort(F.collect_list(F.struct((F.col("places") / F.col("c")).alias("mean"), "seen", "word")))
+    kept = votes.join(total, GROUP).where(2 * F.col("c") >= F.col("n")).select(*GROUP, F.struct("places", "c", "seen", "word").alias("w"))
+    seen = lambda x: F.struct(x["seen"].alias("seen"), x["word"].alias("word"))
+
+    def order(x: Column, y: Column) -> Column:
+        a, b = x["places"] * y["c"], y["places"] * x["c"]
+        return F.when(a < b, -1).when(a > b, 1).when(seen(x) < seen(y), -1).when(seen(x) > seen(y), 1).otherwise(0)
+
+    ordered = F.array_sort(F.collect_list("w"), order)
     return kept.groupBy(*GROUP).agg(F.array_join(F.transform(ordered, lambda x: x["word"]), " ").alias("label"))

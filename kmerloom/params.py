@@ -42,7 +42,8 @@ class Params:
 
     def max_missing(self, n: int) -> int:
         allowed = np.float32(1) - np.float32(self.min_freq)
-        return max(m for m in range(n + 1) if np.float32(m) / np.float32(max(n, 1)) <= allowed)
+        near = int(allowed * n)  # rounding moves the last number allowed by one or two
+        return max((m for m in range(max(near - 2, 0), min(near + 2, n) + 1) if np.float32(m) / np.float32(max(n, 1)) <= allowed), default=0)
 
 
 def overlap_k(k: int) -> int:

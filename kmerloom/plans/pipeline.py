@@ -38,15 +38,30 @@ def variant_groups(proteins: DataFrame, n_species: int, p: Params) -> Groups:
     return Groups(segs, obs, support, cands, kept, groups.selected(obs, kept))
 
 
-def align(proteins: DataFrame, species: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(alignment (sid, seq), partitions) of all species."""
+@dataclass
+class Analysis:
+    """The groups, the alignment (sid, seq) and its partitions."""
+
+    groups: Groups
+    alignment: DataFrame
+    parts: DataFrame
+
+
+def analyse(proteins: DataFrame, species: DataFrame, p: Params) -> Analysis:
+    """From ``proteins`` (sid, protein_id, name, seq) of all ``species`` (sid) to their alignment."""
     n = species.count()
     found = variant_groups(proteins, n, p)
-    cells = cut(consensus.completed_cells(consensus.observed_cells(found.selected), found.kept, species))
-    columns = cut(alignment.group_columns(cells, found.kept, p, n))
+    rows = cut(consensus.observed_rows(found.selected))
+    columns = cut(alignment.group_columns(rows, found.kept, p, n))
     named = found.selected.join(proteins.select("sid", "protein_id", "name"), ["sid", "protein_id"])
-    labels = consensus.consensus_names(named)
-    return alignment.aligned(columns, found.kept, species), alignment.partitions(columns, found.kept, labels)
+    parts = cut(alignment.partitions(columns, found.kept, consensus.consensus_names(named)))
+    return Analysis(found, alignment.aligned(columns, parts, species), parts)
+
+
+def align(proteins: DataFrame, species: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(alignment (sid, seq), partitions) of all species."""
+    done = analyse(proteins, species, p)
+    return done.alignment, done.parts
 
 
 def documents_as_proteins(documents: DataFrame, sid) -> DataFrame:
