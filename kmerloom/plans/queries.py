@@ -1,8 +1,9 @@
 """Queries on the driver's tables and the SQL that gives the same rows.
 
 A document's text stands for a protein, ``doc_id % 3`` for its species.
-Aligned rows, which prose lacks, are the first 40 letters of each document's
-text that are amino acids: the group is the source, the row the document.
+Aligned rows, which prose lacks, are all the letters of each document's text
+that are amino acids, cut into blocks of 40 columns, the last filled with gaps:
+the group is the source and the block's number, the row the document.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from kmerloom.functions.recode import LETTERS, SCHEMES, residues, recoded
 from kmerloom.operators import alignment, anchors, consensus, groups, kmers, orf, phylo
 from kmerloom.params import Params
 from kmerloom.plans import pipeline
+from kmerloom.plans.checkpoints import cut, spread
 
-P = Params(k=9, min_freq=0.6)
+P, ALIGN = Params(k=9, min_freq=0.6), Params(k=9, min_freq=0.6, mask=16)
 NEED = P.min_needed(3)
 WIDTH, MASK, ROW_SPECIES = 40, 4, 97
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,67 +116,105 @@ def nonoverlap_groups(spark, sf_dir):
 
 
 def _rows(spark, sf_dir):
-    aa = F.regexp_replace(residues(F.col("text")), "\\.", "")
-    return _docs(spark, sf_dir).select("source", "doc_id", F.substring(aa, 1, WIDTH).alias("block")).where(F.length("block") == WIDTH)
+    """(source, doc_id, rk, block): every block of every text."""
+    aa = F.regexp_replace(residues(F.coalesce("text", F.lit(""))), "\\.", "")
+    texts = _docs(spark, sf_dir).select("source", "doc_id", aa.alias("aa")).where("aa <> ''")
+    n = F.ceil(F.length("aa") / WIDTH).cast("int")
+    blocks = texts.select("source", "doc_id", "aa", F.explode(F.sequence(F.lit(0), n - 1)).alias("rk"))
+    return blocks.select("source", "doc_id", "rk", F.rpad(F.col("aa").substr(F.col("rk") * WIDTH + 1, F.lit(WIDTH)), WIDTH, "-").alias("block"))
 
 
 def _observed(spark, sf_dir):
-    """Rows of equal length; the key pair is (source, length), the species doc_id % ROW_SPECIES."""
-    return _rows(spark, sf_dir).select(F.col("source").alias("lk"), F.lit(0).alias("rk"), (F.col("doc_id") % ROW_SPECIES).alias("sid"), "block")
+    """One row a group and species, doc_id % ROW_SPECIES."""
+    return consensus.observed_rows(_rows(spark, sf_dir).select(F.col("source").alias("lk"), "rk", (F.col("doc_id") % ROW_SPECIES).alias("sid"), "block"))
 
 
-def _cells(spark, sf_dir):
-    """One row a document, all complete."""
-    return consensus.observed_cells(_rows(spark, sf_dir).select(F.col("source").alias("lk"), F.lit(0).alias("rk"), F.col("doc_id").alias("sid"), "block"))
+def _by_doc(spark, sf_dir):
+    """One row a group and document."""
+    return _rows(spark, sf_dir).select(F.col("source").alias("lk"), "rk", F.col("doc_id").alias("sid"), "block")
 
 
 def _out(df, *columns):
-    return df.select(F.col("lk").alias("source"), *(F.col(c).cast("long").alias(c) if c != "aa" else F.col("aa") for c in columns))
+    return df.select(F.col("lk").alias("source"), F.col("rk").cast("long").alias("block_no"), *(F.col(c).cast("long").alias(c) if c in ("sid", "col", "missing", "n_states") else F.col(c) for c in columns))
 
 
 def species_consensus(spark, sf_dir):
-    return _out(consensus.observed_cells(_observed(spark, sf_dir)), "sid", "col", "aa")
+    return _out(_observed(spark, sf_dir), "sid", "block")
 
 
 def column_majority(spark, sf_dir):
-    return _out(consensus.column_majority(_cells(spark, sf_dir), P.recode), "col", "state")
+    return _out(consensus.column_majority(_by_doc(spark, sf_dir), P.recode), "majority")
 
 
 def masked_rows(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    done = consensus.masked_rows(cells, consensus.column_majority(cells, P.recode), MASK, P.recode)
-    return _out(done, "sid", "col", "aa")
+    rows = _by_doc(spark, sf_dir)
+    return _out(consensus.masked_rows(rows, consensus.column_majority(rows, P.recode), MASK, P.recode), "sid", "block")
 
 
 def column_report(spark, sf_dir):
-    return _out(consensus.column_report(consensus.observed_cells(_observed(spark, sf_dir)), P.recode), "col", "missing", "n_states")
+    return _out(consensus.column_report(_observed(spark, sf_dir), P.recode), "col", "missing", "n_states")
+
+
+def _one_alignment(spark, sf_dir):
+    """(rows, groups, number of species): every document is a species, the group is the block's number."""
+    rows = cut(_rows(spark, sf_dir).select(F.lit("all").alias("lk"), "rk", F.col("doc_id").alias("sid"), "block"))
+    groups = rows.groupBy("lk", "rk").agg(F.count(F.lit(1)).alias("coverage")).withColumn("raw_len", F.lit(WIDTH))
+    return rows, groups, rows.select("sid").distinct().count()
 
 
 def kept_columns(spark, sf_dir):
-    cells = consensus.observed_cells(_observed(spark, sf_dir))
-    found = cells.select("lk", "rk").distinct().withColumn("raw_len", F.lit(WIDTH))
-    return _out(alignment.kept_columns(cells, found, P, ROW_SPECIES), "col")
+    rows, groups, n = _one_alignment(spark, sf_dir)
+    return alignment.kept_columns(rows, groups, ALIGN, n).select(F.col("rk").cast("long").alias("block_no"), F.col("col").cast("long").alias("col"))
+
+
+def _partitioned(spark, sf_dir):
+    rows, groups, n = _one_alignment(spark, sf_dir)
+    columns = cut(alignment.group_columns(rows, groups, ALIGN, n))
+    labels = groups.select("lk", "rk", F.concat_ws("/", "lk", F.col("rk").cast("string")).alias("label"))
+    return rows, columns, cut(alignment.partitions(columns, groups, labels))
+
+
+def whole_alignment(spark, sf_dir):
+    """Masked rows, kept columns, partitions and the concatenation of all groups: each document's alignment."""
+    rows, columns, parts = _partitioned(spark, sf_dir)
+    return alignment.aligned(columns, parts, rows.select("sid").distinct()).select(F.col("sid").cast("long").alias("sid"), "seq")
+
+
+def partition_table(spark, sf_dir):
+    """The partitions of :func:`whole_alignment`."""
+    return _partitioned(spark, sf_dir)[2].select("start_pos", "end_pos", "length", "label")
 
 
 def missing_percent(spark, sf_dir):
-    rows = consensus.observed_cells(_observed(spark, sf_dir))
-    seqs = rows.groupBy("lk", "sid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "aa"))), lambda x: x["aa"]), "").alias("seq"))
-    return alignment.missing_percent(seqs.select(F.concat_ws("/", "lk", "sid").alias("sid"), "seq")).withColumn("pct_missing", F.round("pct_missing", 6))
+    blocks = F.array_sort(F.collect_list(F.struct("rk", "block")))
+    rows = _observed(spark, sf_dir).groupBy("lk", "sid").agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "").alias("seq"))
+    return alignment.missing_percent(rows.select(F.concat_ws("/", "lk", "sid").alias("sid"), "seq")).withColumn("pct_missing", F.round("pct_missing", 6))
 
 
 def consensus_label(spark, sf_dir):
-    named = _docs(spark, sf_dir).select(F.col("source").alias("lk"), F.lit(0).alias("rk"), F.lit(0).alias("sid"), F.col("doc_id").alias("protein_id"), F.lit(0).alias("seg_id"), F.lit(0).alias("start"), F.substring("text", 1, 200).alias("name"))
+    named = _docs(spark, sf_dir).select(F.col("source").alias("lk"), F.lit(0).alias("rk"), F.lit(0).alias("sid"), F.col("doc_id").alias("protein_id"), F.lit(0).alias("seg_id"), F.lit(0).alias("start"), F.col("text").alias("name"))
     plain = named.withColumn("name", F.trim(F.regexp_replace("name", "[^A-Za-z]+", " ")))
     return consensus.consensus_names(plain).select(F.col("lk").alias("source"), "label")
 
 
+def _source_rows(spark, sf_dir):
+    """(sid, seq): for each source the commonest letter of every column of its documents, whole texts, gaps to the longest."""
+    cells = _rows(spark, sf_dir).select("source", "rk", F.posexplode(F.split("block", "")).alias("col", "aa")).where("aa between 'A' and 'Z'")
+    counts = cells.groupBy("source", "rk", "col", "aa").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("source", "rk", "col").agg(F.min_by("aa", F.struct(-F.col("n"), "aa")).alias("aa"))
+    letters = F.array_sort(F.collect_list(F.struct((F.col("rk") * WIDTH + F.col("col")).alias("at"), "aa")))  # no more than the longest text has
+    rows = best.groupBy("source").agg(F.array_join(F.transform(letters, lambda x: x["aa"]), "").alias("seq"))
+    longest = rows.agg(F.max(F.length("seq")).alias("n"))
+    return cut(rows.join(F.broadcast(longest)).select(F.regexp_replace("source", "src", "").cast("int").alias("sid"), F.rpad("seq", F.col("n"), F.lit("-")).alias("seq")))  # one number
+
+
 def pairwise_distance(spark, sf_dir):
-    rows = _rows(spark, sf_dir).groupBy("source").agg(F.min_by("block", "doc_id").alias("seq")).select(F.regexp_replace("source", "src", "").cast("long").alias("sid"), "seq")
+    rows = _source_rows(spark, sf_dir).withColumn("sid", F.col("sid").cast("long"))
     return phylo.pairwise_distances(rows).select("i", "j", F.col("valid").cast("long").alias("valid"), F.col("mismatches").cast("long").alias("mismatches"), F.round("d", 6).alias("d"))
 
 
 def nj_newick(spark, sf_dir):
-    rows = _rows(spark, sf_dir).groupBy("source").agg(F.min_by("block", "doc_id").alias("seq")).select(F.regexp_replace("source", "src", "").cast("int").alias("sid"), "seq")
+    rows = _source_rows(spark, sf_dir)
     names = {r["sid"]: f"src{r['sid']}" for r in rows.select("sid").collect()}
     return spark.createDataFrame([(phylo.tree_of(rows, names),)], "newick string")
 
@@ -202,12 +242,12 @@ def gc_content(spark, sf_dir):
 
 def predicted_proteins(spark, sf_dir):
     contigs = _dna(spark, sf_dir).select((F.col("doc_id") % 3).cast("int").alias("sid"), F.col("doc_id").alias("contig_id"), "seq")
-    return orf.predict(contigs)
+    return orf.predict(contigs).drop("place")
 
 
 ALL = (
     recode_segments, recode_schemes, kmer_occupancy, shared_kmers, occupancy_histogram, anchor_starts, anchor_ends, start_clusters, bubble_pairs, clustered_pairs, length_support,
-    best_length, nonoverlap_groups, species_consensus, column_majority, masked_rows, column_report, kept_columns, missing_percent, consensus_label, pairwise_distance, nj_newick,
+    best_length, nonoverlap_groups, species_consensus, column_majority, masked_rows, column_report, kept_columns, whole_alignment, partition_table, missing_percent, consensus_label, pairwise_distance, nj_newick,
     reverse_complement, codon_histogram, translated, gc_content, predicted_proteins,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in ALL}
@@ -252,21 +292,51 @@ ob AS (SELECT p.protein_id, p.seg_id, p.start, lk, rk, right_start + {P.k} - p.s
 
 _SUPPORT = f"{_CLUSTERS}, {_pairs('cl')}, su AS (SELECT lk, rk, len, count(DISTINCT sid) AS coverage FROM ob GROUP BY lk, rk, len)"
 _ROWS = f"""
-rows_ AS (SELECT source, doc_id, substr(replace({_AA}, '.', ''), 1, {WIDTH}) AS block FROM documents),
-full_ AS (SELECT * FROM rows_ WHERE length(block) = {WIDTH})"""
-_BY_DOC = f"{_ROWS}, cell AS (SELECT source, doc_id AS sid, col, substr(block, col + 1, 1) AS aa FROM full_, range({WIDTH}) t(col))"
-_BY_SPECIES = f"""{_ROWS}, cell AS (
-  SELECT source, sid, col, CASE WHEN min(aa) = max(aa) THEN min(aa) ELSE 'X' END AS aa
-  FROM (SELECT source, doc_id % {ROW_SPECIES} AS sid, col, substr(block, col + 1, 1) AS aa FROM full_, range({WIDTH}) t(col)) GROUP BY source, sid, col)"""
-_MAJORITY = f"""{_BY_DOC}, mj AS (
-  SELECT source, col, CAST(state AS BIGINT) AS state FROM (SELECT source, col, {_STATE} AS state, count(*) AS n FROM cell GROUP BY ALL) WHERE state IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY source, col ORDER BY n DESC, state) = 1)"""
-_REPORT = f"""{_BY_SPECIES}, rep AS (
-  SELECT source, col, count(*) FILTER (WHERE aa IN ('-', 'X')) AS missing, count(DISTINCT {_STATE}) AS n_states FROM cell GROUP BY source, col)"""
+text_ AS MATERIALIZED (SELECT source, doc_id, replace({_AA}, '.', '') AS aa FROM documents),
+block_ AS MATERIALIZED (
+  SELECT source, doc_id, blk, rpad(substr(aa, CAST(blk * {WIDTH} + 1 AS BIGINT), {WIDTH}), {WIDTH}, '-') AS block
+  FROM (SELECT source, doc_id, aa, unnest(range(0, CAST(ceil(length(aa) / {WIDTH}) AS BIGINT))) AS blk FROM text_ WHERE aa <> ''))"""
+_BY_DOC = f"""{_ROWS}, cell AS MATERIALIZED (SELECT source, blk, doc_id AS sid, col, substr(block, col + 1, 1) AS aa FROM block_, range({WIDTH}) t(col))"""
+_BY_SPECIES = f"""{_ROWS}, cell AS MATERIALIZED (
+  SELECT source, blk, sid, col, CASE WHEN min(aa) = max(aa) THEN min(aa) ELSE 'X' END AS aa
+  FROM (SELECT source, blk, doc_id % {ROW_SPECIES} AS sid, col, substr(block, col + 1, 1) AS aa FROM block_, range({WIDTH}) t(col)) GROUP BY source, blk, sid, col)"""
+_MAJORITY = """mj AS MATERIALIZED (
+  SELECT source, blk, col, state FROM (SELECT source, blk, col, %s AS state, count(*) AS n FROM cell GROUP BY ALL) WHERE state IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY source, blk, col ORDER BY n DESC, state) = 1)""" % _STATE
+
+
+def _masked(mask: int) -> str:
+    return f"""{_MAJORITY}, fl AS (
+  SELECT source, blk, sid, string_agg(CASE WHEN {_STATE} <> state THEN '1' ELSE '0' END, '' ORDER BY col) AS f
+  FROM cell LEFT JOIN mj USING (source, blk, col) GROUP BY source, blk, sid),
+shown AS MATERIALIZED (SELECT source, blk, sid, col, CASE WHEN contains(f, '{'1' * mask}') THEN 'X' ELSE aa END AS aa FROM cell JOIN fl USING (source, blk, sid))"""
+
+
+def _report(cells: str) -> str:
+    return f"""rep AS MATERIALIZED (
+  SELECT source, blk, col, count(*) FILTER (WHERE aa IN ('-', 'X')) AS missing, count(DISTINCT {_STATE}) AS n_states, count(*) AS there FROM {cells} GROUP BY source, blk, col),
+num AS (SELECT count(DISTINCT sid) AS n FROM cell),
+fine AS (SELECT rep.* FROM rep, num WHERE CAST(missing + n - there AS FLOAT) / CAST(n AS FLOAT) <= CAST(1 AS FLOAT) - CAST({ALIGN.min_freq} AS FLOAT)),
+ends AS (SELECT source, blk, min(col) AS a, max(col) AS b FROM fine WHERE col BETWEEN {P.k} AND {WIDTH - P.k - 1} AND n_states > 1 GROUP BY source, blk),
+kept AS MATERIALIZED (
+  SELECT source, blk, col FROM fine JOIN ends USING (source, blk) WHERE col BETWEEN a AND b AND col < {WIDTH - P.k} OR col BETWEEN {WIDTH - P.k} AND {WIDTH - P.k + P.tail - 1})"""
+
+
+_ALL = f"""{_ROWS}, cell AS MATERIALIZED (SELECT 'all' AS source, blk, doc_id AS sid, col, substr(block, col + 1, 1) AS aa FROM block_, range({WIDTH}) t(col))"""
+_ALIGNED = f"""{_ALL}, {_masked(ALIGN.mask)}, {_report("shown")},
+cover AS (SELECT source, blk, count(DISTINCT sid) AS coverage FROM cell GROUP BY source, blk),
+size_ AS (SELECT source, blk, count(*) AS length FROM kept GROUP BY source, blk),
+part_ AS MATERIALIZED (
+  SELECT source, blk, length, row_number() OVER o AS rank, sum(length) OVER (o ROWS UNBOUNDED PRECEDING) AS upto
+  FROM size_ JOIN cover USING (source, blk) WINDOW o AS (ORDER BY coverage DESC, source, blk))"""
 _DNA = "dna AS (SELECT doc_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGTN]', '', 'g') AS seq FROM documents)"
 _CODONS = f"{_DNA}, co AS (SELECT doc_id, i, substr(seq, i * 3 + 1, 3) AS codon FROM (SELECT doc_id, seq, unnest(range(length(seq) // 3)) AS i FROM dna))"
 _TABLE = "CASE " + " ".join(f"WHEN codon = '{c}' THEN '{a}'" for c, a in nucleotides.CODONS.items()) + " ELSE 'X' END"
-_PICKED = f"{_ROWS}, al AS (SELECT CAST(replace(source, 'src', '') AS BIGINT) AS sid, arg_min(block, doc_id) AS seq FROM full_ GROUP BY source)"
+_PICKED = f"""{_ROWS}, most AS (
+  SELECT source, blk * {WIDTH} + col AS pos, substr(block, col + 1, 1) AS aa FROM block_, range({WIDTH}) t(col) WHERE substr(block, col + 1, 1) <> '-'),
+al AS MATERIALIZED (
+  SELECT CAST(replace(source, 'src', '') AS BIGINT) AS sid, pos, aa FROM (SELECT source, pos, aa, count(*) AS n FROM most GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY source, pos ORDER BY n DESC, aa) = 1)"""
 
 ORACLE_SQL: dict[str, str] = {
     "recode_segments": f"WITH {_SEG} SELECT CAST(sid AS INTEGER) AS sid, protein_id, seg_id, aa, code FROM seg",
@@ -283,19 +353,22 @@ ORACLE_SQL: dict[str, str] = {
     "best_length": f"""WITH RECURSIVE {_SUPPORT}, ranked AS (
   SELECT *, rank() OVER (PARTITION BY lk, rk ORDER BY coverage DESC) AS r, count(*) OVER (PARTITION BY lk, rk, coverage) AS ties FROM su)
 SELECT lk, rk, coverage, len AS raw_len FROM ranked WHERE r = 1 AND ties = 1 AND coverage >= {NEED} AND len >= {2 * P.k + 1}""",
-    "species_consensus": f"WITH {_BY_SPECIES} SELECT source, sid, col, aa FROM cell",
-    "column_majority": f"WITH {_MAJORITY} SELECT source, col, state FROM mj",
-    "masked_rows": f"""WITH {_MAJORITY}, fl AS (
-  SELECT source, sid, string_agg(CASE WHEN CAST({_STATE} AS BIGINT) <> state THEN '1' ELSE '0' END, '' ORDER BY col) AS f
-  FROM cell LEFT JOIN mj USING (source, col) GROUP BY source, sid)
-SELECT source, sid, col, CASE WHEN contains(f, '{'1' * MASK}') THEN 'X' ELSE aa END AS aa FROM cell JOIN fl USING (source, sid)""",
-    "column_report": f"WITH {_REPORT} SELECT source, col, missing, n_states FROM rep",
-    "kept_columns": f"""WITH {_REPORT}, fine AS (SELECT * FROM rep WHERE missing <= {P.max_missing(ROW_SPECIES)}),
-ends AS (SELECT source, min(col) AS a, max(col) AS b FROM fine WHERE col BETWEEN {P.k} AND {WIDTH - P.k - 1} AND n_states > 1 GROUP BY source)
-SELECT source, col FROM fine JOIN ends USING (source) WHERE col BETWEEN a AND b OR col BETWEEN {WIDTH - P.k} AND {WIDTH - P.k + P.tail - 1}""",
+    "species_consensus": f"WITH {_BY_SPECIES} SELECT source, blk AS block_no, sid, string_agg(aa, '' ORDER BY col) AS block FROM cell GROUP BY source, blk, sid",
+    "column_majority": f"""WITH {_BY_DOC}, {_MAJORITY}
+SELECT source, blk AS block_no, string_agg(coalesce(state, '.'), '' ORDER BY col) AS majority
+FROM (SELECT DISTINCT source, blk FROM block_) CROSS JOIN range({WIDTH}) t(col) LEFT JOIN mj USING (source, blk, col) GROUP BY source, blk""",
+    "masked_rows": f"WITH {_BY_DOC}, {_masked(MASK)} SELECT source, blk AS block_no, sid, string_agg(aa, '' ORDER BY col) AS block FROM shown GROUP BY source, blk, sid",
+    "column_report": f"WITH {_BY_SPECIES}, {_report('cell')} SELECT source, blk AS block_no, col, missing, n_states FROM rep",
+    "kept_columns": f"WITH {_ALL}, {_report('cell')} SELECT blk AS block_no, col FROM kept",
+    "whole_alignment": f"""WITH {_ALIGNED}
+SELECT sid, coalesce(string_agg(aa, '' ORDER BY rank, col), '') AS seq
+FROM (SELECT DISTINCT sid FROM cell) LEFT JOIN (
+  SELECT s.sid, p.rank, k.col, coalesce(c.aa, '-') AS aa FROM (SELECT DISTINCT sid FROM cell) s CROSS JOIN kept k JOIN part_ p USING (source, blk)
+  LEFT JOIN shown c ON c.source = k.source AND c.blk = k.blk AND c.col = k.col AND c.sid = s.sid) USING (sid) GROUP BY sid""",
+    "partition_table": f"WITH {_ALIGNED} SELECT CAST(upto - length AS BIGINT) AS start_pos, CAST(upto - 1 AS BIGINT) AS end_pos, length, source || '/' || blk AS label FROM part_",
     "missing_percent": f"WITH {_BY_SPECIES} SELECT source || '/' || sid AS sid, round(100.0 * count(*) FILTER (WHERE aa IN ('-', 'X')) / count(*), 6) AS pct_missing FROM cell GROUP BY source, sid",
     "consensus_label": r"""WITH nm AS (
-  SELECT source, doc_id, trim(regexp_replace(trim(regexp_replace(substr(text, 1, 200), '[^A-Za-z]+', ' ', 'g')), '^\S+', '')) AS rest FROM documents),
+  SELECT source, doc_id, trim(regexp_replace(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), '^\S+', '')) AS rest FROM documents),
 ok AS (SELECT * FROM nm WHERE rest <> ''),
 w AS (SELECT source, doc_id, unnest(string_split(rest, ' ')) AS word, generate_subscripts(string_split(rest, ' '), 1) - 1 AS pos FROM ok),
 o AS (SELECT source, doc_id, word, min(pos) AS pos FROM w GROUP BY ALL),
@@ -303,9 +376,10 @@ v AS (SELECT source, word, count(*) AS c, sum(pos) AS s, min((doc_id, pos)) AS s
 n AS (SELECT source, count(*) AS n FROM ok GROUP BY source)
 SELECT source, string_agg(word, ' ' ORDER BY s / c, seen, word) AS label FROM v JOIN n USING (source) WHERE 2 * c >= n GROUP BY source""",
     "pairwise_distance": f"""WITH {_PICKED}, c AS (
-  SELECT a.sid AS i, b.sid AS j, count(*) AS valid, count(*) FILTER (WHERE substr(a.seq, k + 1, 1) <> substr(b.seq, k + 1, 1)) AS mismatches
-  FROM al a JOIN al b ON a.sid < b.sid, range({WIDTH}) t(k) GROUP BY a.sid, b.sid)
-SELECT i, j, valid, mismatches, round(-ln(1 - least(mismatches / valid / {phylo.LG_SCALE}, {phylo.LIMIT})), 6) AS d FROM c""",
+  SELECT x.sid AS i, y.sid AS j, count(*) FILTER (WHERE a.aa IS NOT NULL) AS valid, count(*) FILTER (WHERE a.aa <> b.aa) AS mismatches
+  FROM (SELECT DISTINCT sid FROM al) x JOIN (SELECT DISTINCT sid FROM al) y ON x.sid < y.sid
+  LEFT JOIN (al a JOIN al b ON a.pos = b.pos AND a.sid < b.sid) ON a.sid = x.sid AND b.sid = y.sid GROUP BY x.sid, y.sid)
+SELECT i, j, valid, mismatches, CASE WHEN valid = 0 THEN 0.0 ELSE round(-ln(1 - least(mismatches / valid / {phylo.LG_SCALE}, {phylo.LIMIT})), 6) END AS d FROM c""",
     "reverse_complement": f"WITH {_DNA} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM dna",
     "codon_histogram": f"WITH {_CODONS} SELECT codon, count(*) AS n FROM co WHERE codon NOT LIKE '%N%' GROUP BY codon",
     "translated": f"""WITH {_CODONS}, pr AS (SELECT doc_id, string_agg({_TABLE}, '' ORDER BY i) AS p FROM co GROUP BY doc_id)
