@@ -1,10 +1,14 @@
 """Exact duplicates by a two-pass Bloom filter, in DataFrame functions only.
 
-Pass 1 counts how often each filter position is hit and keeps, as a packed
-bitmap, the positions hit twice or more. Pass 2 tests every row: a hash that
-occurs twice has hit all its positions twice, so a row with one unset position
-is unique and passes straight through. Only the others are shuffled by hash.
-The texts themselves are read once and are never shuffled.
+The filter is cut into bitmaps; a text's hash belongs to one of them and has
+two positions there. Pass 1 counts how often each position is hit and keeps
+those hit twice or more. Pass 2 tests every row: a hash that occurs twice has
+hit both its positions twice, so a row with an unset position is unique and
+passes straight through. Only the others are shuffled by hash. The texts
+themselves are read once and are never shuffled. The number of bitmaps follows
+the number of rows, without an upper bound: while they are small enough they
+are sent to the rows, beyond that the narrow rows of (id, hash) meet their
+bitmap in a join by shard, which splits where it is skewed.
 """
 
 from __future__ import annotations
@@ -12,12 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.tables import materialise, text_of
-
-#: Bits of one packed bitmap row (what ``bitmap_construct_agg`` makes).
-BITMAP_BITS = 32768
-#: The filter never grows past this, 16 MB; beyond it more rows are shuffled, with the same result.
-MAX_BITS = 1 << 27
+from kmerloom.llm.tables import bitmaps_for, filter_place, materialise, probe, text_of, with_groups, without
 
 
 def normalised(text: str = "text") -> Column:
@@ -25,59 +24,40 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(text_of(text), r"[\x20\x09-\x0D]+", " ")
 
 
-def filter_bits(rows: int) -> int:
-    """Positions of a filter for so many rows: 32 a row as a power of two, between 2**20 and MAX_BITS."""
-    return min(MAX_BITS, max(1 << 20, 1 << (32 * max(rows, 1) - 1).bit_length()))
-
-
-def _positions(digest: str, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.col(digest), F.lit(seed)), F.lit(bits)) for seed in (1, 2)]
+def repeated_positions(hashes: DataFrame, digest: str, bitmaps: int) -> DataFrame:
+    """Pass 1: (shard, bitmap) of the positions that at least two rows hit."""
+    shard, places = filter_place(F.col(digest), bitmaps)
+    hit = hashes.select(shard.alias("shard"), F.explode(F.array(*places)).alias("at"))
+    twice = hit.groupBy("shard", "at").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1")
+    return twice.groupBy("shard").agg(F.bitmap_construct_agg(F.col("at").cast("long")).alias("bitmap"))
 
 
-def repeated_positions(hashes: DataFrame, digest: str, bits: int) -> DataFrame:
-    """Pass 1: (bucket, bitmap) of the positions that at least two rows hit."""
-    hit = hashes.select(F.explode(F.array(*_positions(digest, bits))).alias("at"))
-    twice = hit.groupBy("at").agg(F.count(F.lit(1)).alias("hits")).where("hits > 1")
-    return twice.groupBy(F.expr(f"at div {BITMAP_BITS}").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.pmod("at", F.lit(BITMAP_BITS))).alias("bitmap")
-    )
-
-
-def _is_set(bitmap: str, at: str) -> Column:
-    byte = f"conv(hex(substring({bitmap}, cast(pmod({at}, {BITMAP_BITS}) div 8 as int) + 1, 1)), 16, 10)"
-    return F.expr(f"{bitmap} is not null and getbit(cast({byte} as int), cast(pmod({at}, 8) as int)) = 1")
-
-
-def mark_repeated(hashes: DataFrame, digest: str, bits: int) -> DataFrame:
+def mark_repeated(hashes: DataFrame, digest: str, rows: int, broadcast_bytes: int | None = None) -> DataFrame:
     """Pass 2: ``hashes`` with boolean ``maybe``, false only for digests that occur once."""
-    bitmaps = materialise(repeated_positions(hashes, digest, bits), "bloom")
-    rows = hashes
-    for i, at in enumerate(_positions(digest, bits)):
-        side = bitmaps.select(F.col("bucket").alias(f"_b{i}"), F.col("bitmap").alias(f"_m{i}"))
-        rows = rows.withColumn(f"_p{i}", at)
-        # at most MAX_BITS / BITMAP_BITS rows of 4 KB: a fixed bound
-        rows = rows.join(F.broadcast(side), F.expr(f"_p{i} div {BITMAP_BITS}") == F.col(f"_b{i}"), "left")
-    return rows.withColumn("maybe", _is_set("_m0", "_p0") & _is_set("_m1", "_p1")).drop(
-        *(f"_{k}{i}" for k in "bmp" for i in (0, 1))
-    )
+    n = bitmaps_for(rows)
+    bitmaps = materialise(repeated_positions(hashes, digest, n), "bloom")
+    return probe(hashes, F.col(digest), bitmaps, n, "maybe", broadcast_bytes)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int | None = None) -> DataFrame:
     """(id, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Null text counts as empty. The smallest id of equal texts stays; null ids
     stay only where all ids of the group are null. Rows that share an id and a
-    text are one document: each reports the same answer. An empty table gives
-    an empty result. Other columns are ignored, whatever their names.
+    text are one document: each reports the same answer, and group_size counts
+    them all. Texts of any length are hashed whole. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     hashes = materialise(
         docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normalised(text_col), 256)).alias("digest")), "hashes"
     )
-    marked = mark_repeated(hashes, "digest", filter_bits(hashes.count()))
-    again = marked.where("maybe").drop("maybe")
+    rows = hashes.count()
+    marked = mark_repeated(hashes, "digest", rows, broadcast_bytes)
+    again = materialise(marked.where("maybe").drop("maybe"), "maybe-repeated")
     groups = again.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     once = marked.where("not maybe").select("doc_id", "digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    return again.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size").unionByName(once).select(
+    found = with_groups(again, groups, ["digest"], "group_size", rows)
+    return found.select("doc_id", "digest", "keep_id", "group_size").unionByName(once).select(
         F.col("doc_id").alias(id_col),
         "keep_id",
         "group_size",
@@ -87,6 +67,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay; ids must be unique."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The documents that stay, columns as before; rows that share an id stay if one of them does. Texts are not shuffled."""
+    groups = exact_groups(docs, id_col, text_col)
+    gone = groups.groupBy(id_col).agg(F.bool_or("kept").alias("stays")).where("not stays").select(id_col)
+    return without(docs, id_col, materialise(gone, "copies"))
