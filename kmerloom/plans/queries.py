@@ -291,6 +291,9 @@ ob AS (SELECT p.protein_id, p.seg_id, p.start, lk, rk, right_start + {P.k} - p.s
 
 
 _SUPPORT = f"{_CLUSTERS}, {_pairs('cl')}, su AS (SELECT lk, rk, len, count(DISTINCT sid) AS coverage FROM ob GROUP BY lk, rk, len)"
+_BEST = f"""{_SUPPORT}, ranked AS (
+  SELECT *, rank() OVER (PARTITION BY lk, rk ORDER BY coverage DESC) AS r, count(*) OVER (PARTITION BY lk, rk, coverage) AS ties FROM su),
+best AS MATERIALIZED (SELECT lk, rk, coverage, len AS raw_len FROM ranked WHERE r = 1 AND ties = 1 AND coverage >= {NEED} AND len >= {2 * P.k + 1})"""
 _ROWS = f"""
 text_ AS MATERIALIZED (SELECT source, doc_id, replace({_AA}, '.', '') AS aa FROM documents),
 block_ AS MATERIALIZED (
@@ -350,9 +353,19 @@ ORACLE_SQL: dict[str, str] = {
     "bubble_pairs": f"WITH {_HITS}, {_pairs('st')} SELECT protein_id, seg_id, start, lk, rk, len, block FROM ob",
     "clustered_pairs": f"WITH RECURSIVE {_CLUSTERS}, {_pairs('cl')} SELECT protein_id, seg_id, start, lk, rk, len, block FROM ob",
     "length_support": f"WITH RECURSIVE {_SUPPORT} SELECT lk, rk, len, coverage FROM su",
-    "best_length": f"""WITH RECURSIVE {_SUPPORT}, ranked AS (
-  SELECT *, rank() OVER (PARTITION BY lk, rk ORDER BY coverage DESC) AS r, count(*) OVER (PARTITION BY lk, rk, coverage) AS ties FROM su)
-SELECT lk, rk, coverage, len AS raw_len FROM ranked WHERE r = 1 AND ties = 1 AND coverage >= {NEED} AND len >= {2 * P.k + 1}""",
+    "best_length": f"WITH RECURSIVE {_BEST} SELECT lk, rk, coverage, raw_len FROM best",
+    "nonoverlap_groups": f"""WITH RECURSIVE {_BEST},
+own AS (
+  SELECT lk, rk, list(DISTINCT substr(code, i + 1, {P.overlap_k})) AS kms
+  FROM (SELECT o.lk, o.rk, {_CODE % 'o.block'} AS code, unnest(range(0, length(o.block) - {P.overlap_k} + 1)) AS i
+        FROM ob o JOIN best b ON o.lk = b.lk AND o.rk = b.rk AND o.len = b.raw_len) GROUP BY lk, rk),
+cand AS MATERIALIZED (
+  SELECT b.*, coalesce(kms, CAST([] AS VARCHAR[])) AS kms, row_number() OVER (ORDER BY coverage DESC, raw_len DESC, lk, rk) AS turn FROM best b LEFT JOIN own USING (lk, rk)),
+pick AS (
+  SELECT CAST(0 AS BIGINT) AS turn, CAST([] AS VARCHAR[]) AS used, false AS took
+  UNION ALL
+  SELECT c.turn, CASE WHEN list_has_any(p.used, c.kms) THEN p.used ELSE list_concat(p.used, c.kms) END, NOT list_has_any(p.used, c.kms) FROM pick p JOIN cand c ON c.turn = p.turn + 1)
+SELECT lk, rk, coverage, raw_len FROM cand JOIN pick USING (turn) WHERE took""",
     "species_consensus": f"WITH {_BY_SPECIES} SELECT source, blk AS block_no, sid, string_agg(aa, '' ORDER BY col) AS block FROM cell GROUP BY source, blk, sid",
     "column_majority": f"""WITH {_BY_DOC}, {_MAJORITY}
 SELECT source, blk AS block_no, string_agg(coalesce(state, '.'), '' ORDER BY col) AS majority
