@@ -1,7 +1,8 @@
 """Near duplicates by improved consistent weighted sampling.
 
 A text is the weighted set of its shingles of five words: how often a shingle
-occurs times the mean inverse document frequency of its words. Each of
+occurs times its inverse document frequency, from a sketch of the document
+frequencies of all shingles of all documents (:func:`shingle_idf`). Each of
 BANDS * ROWS samples picks one shingle, two texts agreeing on a sample as often
 as their weighted Jaccard similarity says. Texts that agree on a whole band
 are candidates; a candidate link counts if the exact weighted Jaccard
@@ -21,6 +22,7 @@ similar enough.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -30,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.tables import materialise
-from kmerloom.llm.tokens import once, text_slices
+from kmerloom.llm.tables import materialise, maybe_in, with_groups, without
+from kmerloom.llm.tokens import drop_heavy, once, text_slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 5
-#: Words are counted in so many buckets: the table of frequencies is of fixed size.
-WORD_BUCKETS = 1 << 16
+#: Buckets of the sketch of document frequencies, and segments it is summed up in.
+SKETCH, SEGMENTS = 1 << 20, 256
 #: Members that one copy of a leader's text is compared with before the next copy.
 PER_LEADER = 256
 #: Texts and total weight that one block of a bucket holds about at most.
@@ -87,21 +89,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes in ascending order and their weights; a shorter text is one shingle."""
+def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in ascending order and how often each occurs; a shorter text is one shingle."""
     if not len(words):
-        return np.empty(0, np.uint64), np.empty(0, np.float32)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     n, size = max(len(words) - SHINGLE + 1, 1), min(SHINGLE, len(words))
-    value = idf[(words % np.uint64(len(idf))).astype(np.int64)]
-    h, w = np.full(n, np.uint64(size)), np.zeros(n, np.float32)
+    h = np.full(n, np.uint64(size))
     for j in range(size):
         h = _mix(h + words[j : j + n])
-        w = w + value[j : j + n]
-    order = np.argsort(h, kind="stable")
-    h, w = h[order], w[order] / np.float32(size)
+    h.sort()
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    counts = np.diff(np.append(first, n)).astype(np.float32)
-    return h[first], w[first] * counts
+    return h[first], np.diff(np.append(first, n))
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def weighted_shingles(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes in ascending order and their weights: count times inverse document frequency."""
+    h, n = shingles(words)
+    return h, idf[_bucket(h)] * n.astype(np.float32)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -160,24 +168,50 @@ class WeightedSampler:
         return out.view(np.int64)
 
 
-def word_idf(docs: DataFrame) -> np.ndarray:
-    """1 + ln((N + 1) / (df + 1)) / ln(N + 1) for each word bucket, over all documents."""
+def shingle_idf(docs: DataFrame) -> np.ndarray:
+    """1 + ln((N + 1) / (df + 1)) / ln(N + 2) for each bucket of shingles, over all documents.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(WORD_BUCKETS, np.int64), 0
-        for _, texts in text_slices(batches, "text"):
-            for words in word_hashes(texts):
-                at = np.sort((words % np.uint64(WORD_BUCKETS)).astype(np.uint16))
-                counts[at[np.flatnonzero(np.diff(at.astype(np.int32), prepend=-1))]] += 1
-                n += 1
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([*held, -1], pa.int64()), pa.array([*counts[held], n], pa.int64())], names=["bucket", "n"])
+    ``df`` is the number of documents with a shingle of the bucket: never less
+    than that of any of its shingles, and more by the other shingles of the
+    bucket, on average the number of distinct shingles of all documents over
+    SKETCH. A shingle in many more documents than that stands out; rarer ones
+    weigh about the same. The table has 4 MB at every size of the corpus.
+    """
+    part = SKETCH // SEGMENTS
 
-    total = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    rows = {r["bucket"]: r["n"] for r in total.collect()}  # WORD_BUCKETS + 1 rows at most
-    n, df = rows.pop(-1, 0), np.zeros(WORD_BUCKETS)
-    df[list(rows)] = list(rows.values())
-    return (1 + np.log((n + 1) / (df + 1)) / np.log(n + 2)).astype(np.float32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_heavy()
+        counts, n = np.zeros(SKETCH, np.int64), 0
+        for _, texts in text_slices(batches, "text"):
+            found = [_bucket(shingles(words)[0]) for words in word_hashes(texts)]
+            counts += np.bincount(np.concatenate([np.empty(0, np.int64), *found]), minlength=SKETCH)
+            n += len(texts)
+        packed = [zlib.compress(x.astype("<u4" if x.max() < 1 << 32 else "<u8").tobytes(), 1) for x in counts.reshape(SEGMENTS, part)]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(SEGMENTS), -1], pa.int32()), pa.array([0] * SEGMENTS + [n], pa.int64()), pa.array([*packed, b""], pa.binary())], names=["segment", "n", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        total: dict[int, int] = {}
+        for batch in batches:
+            for segment, n, packed in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                total[segment] = total.get(segment, 0) + n
+                if packed:
+                    raw = zlib.decompress(packed)
+                    sums[segment] = sums.get(segment, 0) + np.frombuffer(raw, "<u4" if len(raw) == 4 * part else "<u8").astype(np.int64)
+        keys = list(total)
+        done = [zlib.compress(sums[k].astype("<u8").tobytes(), 1) if k in sums else b"" for k in keys]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k] for k in keys], pa.int64()), pa.array(done, pa.binary())], names=["segment", "n", "counts"])
+
+    schema = "segment int, n long, counts binary"
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = docs.select("text").mapInArrow(count, schema).repartition(tasks, "segment").mapInArrow(add, schema)
+    n, df = 0, np.zeros((SEGMENTS, part))
+    for r in parts.collect():  # SEGMENTS + 1 rows, 8 MB at most
+        if r["segment"] < 0:
+            n = r["n"]
+        else:
+            df[r["segment"]] = np.frombuffer(zlib.decompress(r["counts"]), "<u8")
+    return (1 + np.log((n + 1) / (np.minimum(df, n) + 1)) / np.log(n + 2)).astype(np.float32).ravel()
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -185,7 +219,8 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = once(("sampler",), WeightedSampler)
+        drop_heavy()
+        sampler = once("sampler", BANDS * ROWS, WeightedSampler)
         for batch, texts in text_slices(batches, "text"):
             his, los, masses, bands = [], [], [], []
             for words in word_hashes(texts):
@@ -203,22 +238,24 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hi long, lo long, mass double, bands array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """The (a, b) whose texts are similar enough; a is a leader that many pairs may share.
 
-    The pairs grow with the documents, so their texts are always joined by a shuffle.
+    ``texts`` (_id, text) are those of the candidates; they grow with the
+    documents, so they are always joined by a shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(idf)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").hint("merge")
-    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_LEADER).cast("int").alias("shares"))
-    members = pairs.join(shares, "a").select("a", "b", F.pmod(F.hash("b"), F.col("shares")).alias("share"))
+    spark = pairs.sparkSession
+    sent, texts = spark.sparkContext.broadcast(idf), texts.hint("merge")
+    shares = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / PER_LEADER).cast("int"))
+    members = with_groups(pairs, shares, ["a"], "n", pairs.count()).select("a", "b", F.pmod(F.hash("b"), F.col("shares")).alias("share"))
     members = members.join(texts, members["b"] == texts["_id"]).select("a", "share", "b", "text")
     leaders = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     leaders = leaders.join(texts, leaders["a"] == texts["_id"]).select("a", "share", F.lit(None).cast("long").alias("b"), "text")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = leaders.unionByName(members).repartition(n, "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_heavy()
         at, leader = None, None
         for batch, texts in text_slices(batches, "text"):
             out = []
@@ -252,8 +289,9 @@ def cells(known: DataFrame) -> DataFrame:
         F.flatten(F.collect_list(F.when(~small, numbered))).alias("own"),
     )
     shared = F.expr("if(mixed = 0, array(), sequence(0, mixed - 1))").cast("array<int>")
-    buckets = buckets.where("classes > 1").withColumn("mixed", parts).select("band", "mixed", F.concat("own", F.transform(shared, lambda i: F.struct(F.lit("").alias("of"), i.alias("part")))).alias("blocks"))
-    placed = known.join(buckets, "band").join(classes.select("band", "label", "parts"), ["band", "label"])
+    buckets = buckets.where("classes > 1").withColumn("mixed", parts).join(known.groupBy("band").agg(F.count(F.lit(1)).alias("held")), "band").select("band", "held", "mixed", F.concat("own", F.transform(shared, lambda i: F.struct(F.lit("").alias("of"), i.alias("part")))).alias("blocks"))
+    total = known.count()
+    placed = with_groups(with_groups(known, buckets, ["band"], "held", total), classes.select("band", "label", "parts", "n"), ["band", "label"], "n", total)
     mine = F.when(F.col("parts") == 1, F.struct(F.lit("").alias("of"), F.pmod(F.hash("label"), F.col("mixed")).alias("part"))).otherwise(
         F.struct(F.col("label").cast("string").alias("of"), F.pmod(F.hash("node"), F.col("parts")).alias("part"))
     )
@@ -298,18 +336,19 @@ def cell_links(band: int, rows: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def crossed(met: DataFrame, sets: DataFrame, docs: DataFrame, idf: np.ndarray) -> DataFrame:
+def crossed(met: DataFrame, sets: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
     """The links (a, b) that the :func:`cells` ``met`` hold, from whole texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(idf)
-    texts = docs.select(F.col("doc_id").alias("_id"), "text").hint("merge")
+    spark = met.sparkSession
+    sent, texts = spark.sparkContext.broadcast(idf), texts.hint("merge")
     wanted = met.join(sets.select("node", "bands"), "node")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = wanted.join(texts, wanted["node"] == texts["_id"]).select("cell", "band", "high", "node", "label", "bands", "text").repartition(n, "cell").sortWithinPartitions("cell", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+        drop_heavy()
         at, band, rows = None, 0, []
         for batch, texts in text_slices(batches, "text"):
             out = []
@@ -366,39 +405,51 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Ids are taken as unique; rows that share an id are one document to the
     links. A document without words is a class of its own, and so is one with a
-    null id, whose class_id is null. An empty table gives no rows.
+    null id, whose class_id is null. Texts of any length are taken whole; equal
+    weights and similarities of exactly SIMILARITY link. Other columns are not
+    read. An empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    idf = word_idf(docs)
+    idf = shingle_idf(docs)
     signed = materialise(signatures(docs, idf), "signatures")
     with_words = signed.where("bands is not null and doc_id is not null")
-    sets = materialise(with_words.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.min("mass").alias("mass"), F.min("bands").alias("bands")), "sets")
+    sets = with_words.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.min("mass").alias("mass"), F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    sets = materialise(sets, "sets")
     banded = materialise(sets.select("node", "mass", F.explode("bands").alias("band")), "bands")
+    entries = banded.count()
     held = banded.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = banded.join(held, "band").withColumn("met", F.sum("held").over(Window.partitionBy("node")))  # BANDS rows a node at most
-    shared = materialise(shared.drop("held"), "shared")
-    leaders = shared.groupBy("band").agg(_most_central("node", "mass").alias("leader"))
-    full = materialise(shared.join(leaders, "band").select("band", "node", "mass", "leader"), "buckets")
+    shared = with_groups(banded, held, ["band"], "held", entries).withColumn("met", F.sum("held").over(Window.partitionBy("node")))  # BANDS rows a node at most
+    shared = materialise(shared, "shared")
+    leaders = shared.groupBy("band").agg(_most_central("node", "mass").alias("leader"), F.count(F.lit(1)).alias("held"))
+    full = materialise(with_groups(shared.select("band", "node", "mass"), leaders, ["band"], "held", entries).select("band", "node", "mass", "leader"), "buckets")
+    # only texts that share a bucket are read again, once; no others move
+    wanted = materialise(full.select(F.col("node").alias("id")).distinct(), "candidate-ids")
+    texts = maybe_in(docs, "doc_id", wanted, "maybe").where("maybe").select(F.col("doc_id").alias("_id"), "text")
+    texts = materialise(texts, "candidate-texts")
     led = full.where(F.col("node") != F.col("leader.node")).where(_comparable(F.col("mass"), F.col("leader.mass")))
     pairs = led.select(F.col("leader.node").alias("a"), F.col("node").alias("b")).distinct()
-    labels = components(materialise(verified(materialise(pairs, "pairs"), docs, idf), "links"))
+    labels = components(materialise(verified(materialise(pairs, "pairs"), texts, idf), "links"))
     # a leader has met all of its bucket: what is left are pairs of other members, of different classes
     known = full.where(F.col("node") != F.col("leader.node")).join(labels, "node", "left").select("band", "node", "mass", F.coalesce("label", "node").alias("label"))
     met = materialise(cells(materialise(known, "known")), "cells")
-    labels = joined_classes(labels, materialise(crossed(met, sets, docs, idf), "links"))
-    of_set = sets.join(labels, "node", "left").select("hi", "lo", F.coalesce("label", "node").alias("class_id"))
-    classed = signed.join(of_set, ["hi", "lo"], "left").select(
-        "doc_id", F.when(F.col("bands").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
-    )
-    classed = materialise(classed, "classes")
+    labels = joined_classes(labels, materialise(crossed(met, sets, texts, idf), "links"))
+    of_set = sets.join(labels, "node", "left").select("hi", "lo", "copies", F.coalesce("label", "node").alias("class_id"))
+    rows = with_words.count()
+    classed = materialise(with_groups(with_words.select("doc_id", "hi", "lo"), of_set, ["hi", "lo"], "copies", rows).select("doc_id", "class_id"), "classes")
     sizes = classed.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    joined = classed.join(sizes, "class_id", "left")
-    return joined.select(
-        F.col("doc_id").alias(id_col), "class_id", F.coalesce(F.when(F.col("class_id").isNotNull(), F.col("class_size")), F.lit(1)).cast("long").alias("class_size"), F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+    done = with_groups(classed, sizes, ["class_id"], "class_size", rows)
+    alone = signed.where("bands is null or doc_id is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return done.select("doc_id", "class_id", "class_size").unionByName(alone).select(
+        F.col("doc_id").alias(id_col), "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id. Columns as before."""
-    kept = near_classes(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One document of each class, that with the smallest id. Columns as before.
+
+    Rows that share an id stay if one of them does. Texts of what stays are not
+    shuffled.
+    """
+    classes = near_classes(docs)
+    gone = classes.groupBy("doc_id").agg(F.bool_or("kept").alias("stays")).where("not stays").select("doc_id")
+    return without(docs, "doc_id", materialise(gone, "copies"))

@@ -8,6 +8,8 @@ gave for the chunks it has met, in a memo of bounded size.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -29,11 +31,14 @@ _LATIN = "\u0250"
 _MARK = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?!\S)")
 _HIGH = re.compile("[\u0250-\U0010ffff]")
 #: Chunks in one generation of a memo; at most two generations are held.
-MEMO = 300_000
+MEMO = 120_000
 #: The same for the pieces of texts, most of them words in lower case.
-PIECES = 500_000
+PIECES = 250_000
+#: Longer keys are never remembered, so a memo's bytes are bounded as its entries are.
+MEMO_CHARS = 200
 
 _of_process: dict = {}
+_heavy: tuple | None = None
 
 
 def default_vocabulary() -> str:
@@ -47,11 +52,31 @@ def share_vocabulary(spark: SparkSession, path: str | None = None) -> Broadcast:
     return spark.sparkContext.broadcast(Path(path or default_vocabulary()).read_text(encoding="utf-8"))
 
 
-def once(key: tuple, make: Callable):
-    """What ``make`` gave for ``key`` in this process."""
-    if key not in _of_process:
-        _of_process[key] = make()
-    return _of_process[key]
+def once(kind: str, key, make: Callable):
+    """What ``make`` gave for ``key`` in this process; a new key of a kind takes the place of the old one."""
+    if (held := _of_process.get(kind)) is None or held[0] != key:
+        held = _of_process[kind] = (key, make())
+    return held[1]
+
+
+def drop_heavy() -> None:
+    """Give back the memory of what :func:`heavy` holds; workers outlive the stage that filled it."""
+    global _heavy
+    if _heavy is not None:
+        _heavy = None
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
+def heavy(key: tuple, make: Callable):
+    """Like :func:`once` for encoders and models with their memos: a process holds one of them, whatever its kind."""
+    global _heavy
+    if _heavy is None or _heavy[0] != key:
+        drop_heavy()
+        _heavy = (key, make())
+    return _heavy[1]
 
 
 def chunks_of(text: str) -> list[str]:
@@ -72,9 +97,13 @@ class Memo:
 
     def __init__(self, compute: Callable[[list[str]], Iterable], limit: int = MEMO):
         self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
+        self.long: list[str] = []
 
     def ready(self, keys: set[str]) -> dict:
         """A dict that has all of ``keys``."""
+        for k in self.long:
+            self.young.pop(k, None)
+        self.long = [k for k in keys if len(k) > MEMO_CHARS]
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         new = []
@@ -160,7 +189,7 @@ class LibraryEncoder:
 
 
 def library_encoder(vocabulary: Broadcast) -> LibraryEncoder:
-    return once(("library", hash(vocabulary.value)), lambda: LibraryEncoder(vocabulary.value))
+    return heavy(("library", hash(vocabulary.value)), lambda: LibraryEncoder(vocabulary.value))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, chars: int = 1_500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
