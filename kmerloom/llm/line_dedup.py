@@ -307,7 +307,8 @@ def strip_lines(docs: DataFrame, index: LineIndex | None = None, id_col: str = "
     lost = materialise(index.losses(broadcast_bytes), "line-losses")
     names = docs.columns
     flag, key, hi, lo, n_lines, n_dropped = fresh(names, "maybe", "lost_id", "lost_hi", "lost_lo", "n_lines", "n_dropped")
-    lists = lost.select(F.col("doc_id").alias(key), F.col("lost.hi").alias(hi), F.col("lost.lo").alias(lo))
+    # the lists grow with the documents: they are joined in the same way at every size
+    lists = lost.select(F.col("doc_id").alias(key), F.col("lost.hi").alias(hi), F.col("lost.lo").alias(lo)).hint("merge")
     marked = maybe_in(docs.withColumn(key, F.col(id_col).cast("long")), key, lost.select("doc_id"), flag, broadcast_bytes)
     met = marked.where(flag).withColumnRenamed(key, f"{key}_of")
     met = met.join(lists, F.col(f"{key}_of").eqNullSafe(F.col(key)), "left").select(*names, hi, lo)
