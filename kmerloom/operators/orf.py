@@ -23,6 +23,13 @@ _COMPLEMENT = str.maketrans("ACGT", "TGCA")
 _INDEX = {a + b + c: 16 * i + 4 * j + k for i, a in enumerate("ACGT") for j, b in enumerate("ACGT") for k, c in enumerate("ACGT")}
 
 
+#: Each byte's base, 4 for other letters and 5 for N; each codon's kind by three of these.
+_DIGITS = np.full(256, 4, np.uint8)
+_DIGITS[[ord(c) for c in "ACGTN"]] = 0, 1, 2, 3, 5
+_START, _END = 1, 2
+_KINDS = np.array([_END if "N" in c or c in STOPS else _START if c in STARTS else 0 for c in (x + y + z for x in "ACGT?N" for y in "ACGT?N" for z in "ACGT?N")], np.uint8)
+
+
 @dataclass(frozen=True)
 class Orf:
     """``begin`` and ``end`` on the forward strand, ``lo`` and ``hi`` on the strand scanned."""
@@ -124,24 +131,31 @@ def _segment_orfs(seq: str, strand: int, end: int, open_end: bool, starts: list[
 
 
 def strand_orfs(seq: str, strand: int, model: tuple[int, int, int]) -> list[Orf]:
+    """The frames of one strand. Codons are classed all at once; only stretches long enough from their first start are scored."""
     out: list[Orf] = []
+    digits = _DIGITS[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    kinds = _KINDS[(digits[:-2].astype(np.int16) * 36) + (digits[1:-1] * 6) + digits[2:]] if len(seq) > 2 else np.empty(0, np.uint8)
     for frame in range(3):
         last = frame + (len(seq) - frame) // 3 * 3
-        starts: list[tuple[int, int]] = []
-        for at in range(frame, last, 3):
-            codon = seq[at : at + 3]
-            if "N" in codon or codon in STOPS:
-                out += _segment_orfs(seq, strand, at, False, starts, model)
-                starts = []
-            elif codon in STARTS:
-                starts.append((at, STARTS[codon] + shine_dalgarno(seq, at)))
-        out += _segment_orfs(seq, strand, last, True, starts, model)
+        own = kinds[frame:last:3]
+        starts = frame + 3 * np.flatnonzero(own == _START)
+        if not len(starts):
+            continue
+        ends = np.append(frame + 3 * np.flatnonzero(own == _END), last)
+        begin = np.searchsorted(starts, np.append(frame, ends[:-1]))
+        stop = np.searchsorted(starts, ends)
+        first = starts[np.minimum(begin, len(starts) - 1)]
+        for i in np.flatnonzero((stop > begin) & (ends - first >= MIN_NT)).tolist():
+            found = [(at, STARTS[seq[at : at + 3]] + shine_dalgarno(seq, at)) for at in starts[begin[i] : stop[i]].tolist()]
+            out += _segment_orfs(seq, strand, int(ends[i]), i == len(ends) - 1, found, model)
     return out
 
 
 def _codon_counts(seq: str) -> np.ndarray:
-    found = [_INDEX[c] for i in range(0, len(seq) - 2, 3) if (c := seq[i : i + 3]) in _INDEX]
-    return np.bincount(found, minlength=64).astype(np.int64)
+    n = len(seq) // 3 * 3
+    digits = _DIGITS[np.frombuffer(seq[:n].encode("latin-1", "replace"), np.uint8)].reshape(-1, 3).astype(np.int64)
+    valid = digits[(digits < 4).all(1)]
+    return np.bincount(valid @ np.array([16, 4, 1]), minlength=64)
 
 
 def adaptive_model(orfs: list[Orf], strands: dict[int, str]) -> list[int] | None:

@@ -253,6 +253,27 @@ def test_adaptive_codons():
     assert orf.adaptive_score("GCT" * 34 + "GCN" * 10, fixed) == 18
 
 
+def test_frames_against_a_walk_over_codons():
+    rnd, model, found = random.Random(6), orf.gc_model(0.5), 0
+    for letters in ("ACGT", "ACGT" * 40 + "N", "ACGT" * 60 + "NR", "ACG", "A"):
+        for size in (0, 2, 5, 900, 2500):
+            seq = "".join(rnd.choice(letters) for _ in range(size))
+            want = []
+            for frame in range(3):
+                last, starts = frame + (size - frame) // 3 * 3, []
+                for at in range(frame, last, 3):
+                    codon = seq[at : at + 3]
+                    if "N" in codon or codon in nucleotides.STOPS:
+                        want += orf._segment_orfs(seq, 1, at, False, starts, model)
+                        starts = []
+                    elif codon in nucleotides.STARTS:
+                        starts.append((at, nucleotides.STARTS[codon] + orf.shine_dalgarno(seq, at)))
+                want += orf._segment_orfs(seq, 1, last, True, starts, model)
+            assert orf.strand_orfs(seq, 1, model) == want
+            found += len(want)
+    assert found
+
+
 def test_predicted_proteins(spark):
     rng = np.random.default_rng(3)
     codons = [c for c, a in nucleotides.CODONS.items() if a != "*"]
