@@ -22,10 +22,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.tokens import Memo, byte_letters, chunks_of, once, share_vocabulary, text_slices, words_of
+from kmerloom.llm.tokens import Memo, byte_letters, chunks_of, heavy, share_vocabulary, text_slices, words_of
 
 WORD_END = "</w>"
-_PAIRS = 1_000_000
+_PAIRS = 500_000
 _NEVER = 1 << 30
 
 
@@ -211,7 +211,7 @@ class PrefixEncoder:
 
 
 def prefix_encoder(vocabulary: Broadcast) -> PrefixEncoder:
-    return once(("prefix", hash(vocabulary.value)), lambda: PrefixEncoder(vocabulary.value))
+    return heavy(("prefix", hash(vocabulary.value)), lambda: PrefixEncoder(vocabulary.value))
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -232,8 +232,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def encoding_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every document, as :func:`encode_documents` encodes it.
 
-    Null text counts as empty and has no tokens. Repeated rows are encoded each
-    for itself, null ids are kept, other columns are not read.
+    Null text counts as empty and has no tokens. Texts of any length are
+    encoded whole. Repeated rows are encoded each for itself, null ids are
+    kept, other columns are not read. An empty table gives no rows.
     """
     shared = share_vocabulary(docs.sparkSession, vocabulary)
 

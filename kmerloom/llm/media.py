@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.llm.tokens import drop_heavy
+
 WIDTH = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 SIDE, LOW = 32, 8
@@ -136,9 +138,15 @@ def cosine_hash(image: np.ndarray) -> bytes:
 
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media binary): every text stored as a PNG. Null text counts as empty: one row of zeros."""
+    """(id, n_bytes, media binary): every text stored as a PNG.
+
+    Null text counts as empty: one row of zeros. Texts of any length are one
+    image. Repeated rows are stored each for itself, null ids are kept, other
+    columns are not read. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_heavy()
         for batch in batches:
             data = [(t or "").encode() for t in batch.column(1).to_pylist()]
             pngs = [encode_png(pad(d)) for d in data]
@@ -155,6 +163,7 @@ def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_heavy()
         for batch in batches:
             rows = []
             for png in batch.column(2).to_pylist():
