@@ -66,7 +66,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+
+def _matches_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+SELECT * FROM (
+  SELECT doc_id, owner, repo, kind, rank, whole, val, sum(length(gap) + length(whole)) OVER (PARTITION BY doc_id ORDER BY n) AS stop
+  FROM (SELECT doc_id, owner, repo, '{kind}' AS kind, {secrets.ORDER.index(kind)} AS rank, unnest(regexp_extract_all(t, {quoted}, 0)) AS whole,
+               unnest(regexp_extract_all(t, {quoted}, {group})) AS val, unnest(regexp_split_to_array(t, {quoted})) AS gap, generate_subscripts(regexp_split_to_array(t, {quoted}), 1) AS n FROM d)
+  WHERE whole IS NOT NULL) WHERE length(val) >= {least}"""
+
+
+_SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, coalesce(source, '') || chr(31) || coalesce(lang, '') AS repo FROM documents),
+found AS MATERIALIZED ({" UNION ALL ".join(_matches_sql(*k) for k in secrets.KINDS)}),
+held AS (SELECT val, count(DISTINCT owner) < {secrets.EXAMPLE_OWNERS} AND count(DISTINCT repo) < {secrets.EXAMPLE_REPOS} AS live FROM found GROUP BY val),
+base AS (SELECT doc_id, rank, kind, stop - length(whole) AS start, stop, stop - length(val) AS val_start, live FROM found JOIN held USING (val)),
+every AS (SELECT doc_id, rank, kind, start, stop FROM base UNION ALL SELECT DISTINCT doc_id, {secrets.ORDER.index(secrets.LIVE)}, '{secrets.LIVE}', val_start, stop FROM base WHERE live),
+b AS (SELECT doc_id, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k, *_ in secrets.KINDS)}, count(*) FILTER (WHERE live) AS n_live,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS listed FROM base GROUP BY doc_id),
+e AS (SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans FROM every GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in secrets.KINDS)}, sha256(coalesce(listed, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN e USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_secret_scan": _SECRETS_SQL,
     "op1_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -2,8 +2,10 @@
 
 Every match becomes a candidate with the hash of its value. For each hash the
 distinct repositories and owners are counted over the whole corpus: a value
-that several owners hold is a copied example, one that stays with its owner is
-a live-looking credential and gets a span of kind ``live`` around the value.
+that several owners hold, or that few owners have spread over many
+repositories, is a copied example; one that stays with its owner and in few
+repositories is a live-looking credential and gets a span of kind ``live``
+around the value.
 Positions come from lengths: ``split`` gives the gaps and
 ``regexp_extract_all`` the matches, and a running sum turns both into offsets.
 """
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.tables import materialise, text_of
+from kmerloom.llm.tables import fresh, materialise, maybe_in, text_of, with_groups
 
 # Kind, pattern, group of the value, least length of the value.
 KINDS = [
@@ -23,8 +25,8 @@ KINDS = [
 ]
 LIVE = "live"
 ORDER = [*(k[0] for k in KINDS), LIVE]
-#: A value held by at least so many owners is an example.
-EXAMPLE_OWNERS = 3
+#: A value held by at least so many owners, or in at least so many repositories, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 6
 
 
 def _matches(pattern: str, group: int) -> F.Column:
@@ -70,22 +72,26 @@ def spans_of(scanned: DataFrame) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(digest, n_owners, n_repos) over the corpus, aggregated before each shuffle."""
+    """(digest, n_owners, n_repos, n_spans) over the corpus, aggregated before each shuffle."""
     held = spans.groupBy("digest", "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
-    by_owner = held.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
+    by_owner = held.groupBy("digest", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
+    return by_owner.groupBy("digest").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_spans"))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """Per document: counts by kind, ``base`` and ``all_spans`` (arrays of start, kind number, kind, end), live and example counts.
 
     Null text counts as empty, null owners and repositories as one owner named
     by the empty string. Documents without a match get zeros and empty arrays.
-    Repeated rows are scanned each for itself. Only the named columns are read.
+    Repeated rows are scanned each for itself, but count once among the owners
+    and repositories. Texts of any length are scanned whole; matches that begin
+    at one place are listed in the order of KINDS. An empty table gives no
+    rows. Only the named columns are read.
     """
     scanned = materialise(scan(docs, id_col, text_col, owner_col, repo_cols), "scanned")
     spans = materialise(spans_of(scanned), "spans")
-    judged = spans.join(ownership(spans), "digest").withColumn("live", F.col("n_owners") < example_owners)
+    judged = with_groups(spans, ownership(spans), ["digest"], "n_spans", spans.count())
+    judged = judged.withColumn("live", (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos))
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in ((k, i) for i, k in enumerate(ORDER)) for x in pair)), F.col("kind"))
     base = F.struct("start", rank.alias("rank"), "kind", "end")
     live = F.struct(F.col("value_start").alias("start"), F.lit(ORDER.index(LIVE)).alias("rank"), F.lit(LIVE).alias("kind"), "end")
@@ -117,14 +123,20 @@ def secret_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def mask_live(docs: DataFrame, mask: str = "<secret>", **columns) -> DataFrame:
-    """``docs`` with each live-looking value replaced by ``mask``; examples stay. Columns and rows as before."""
-    found = find_secrets(docs, **columns).where(F.size("live_spans") > 0).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("live_spans").alias("_spans")
-    ).dropDuplicates(["_id", "_key"])
-    text = text_of()
+def mask_live(docs: DataFrame, mask: str = "<secret>", id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+    """``docs`` with each live-looking value replaced by ``mask``; examples stay. Columns and rows as before.
+
+    Only rows that may hold a live value are dealt out, by their id; null texts
+    stay null, and repeated rows are masked alike.
+    """
+    key, of, spans, flag = fresh(docs.columns, "live_id", "live_text", "live_spans", "maybe")
+    found = find_secrets(docs, id_col, text_col, **columns).where(F.size("live_spans") > 0).select(
+        F.col(id_col).alias(key), F.col("text_key").alias(of), F.col("live_spans").alias(spans)
+    ).dropDuplicates([key, of])
+    found = materialise(found, "live")  # grows with the documents: joined in the same way at every size
+    text = text_of(text_col)
     done = F.aggregate(
-        "_spans",
+        spans,
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
             F.greatest(a["at"], s["end"]).alias("at"),
@@ -132,5 +144,8 @@ def mask_live(docs: DataFrame, mask: str = "<secret>", **columns) -> DataFrame:
         ),
         lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))),
     )
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(text_of()) == found["_key"]), "left")
-    return joined.select(*(F.when(F.col("_spans").isNotNull(), done).otherwise(F.col(c)).alias(c) if c == "text" else docs[c] for c in docs.columns))
+    marked = maybe_in(docs, id_col, found.select(key).distinct(), flag)
+    joined = marked.where(flag).join(found.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(of)), "left")
+    masked = F.when(F.col(spans).isNotNull(), done).otherwise(F.col(text_col)).alias(text_col)
+    rows = joined.select(*(masked if c == text_col else F.col(c) for c in docs.columns))
+    return marked.where(~F.col(flag)).select(*docs.columns).unionByName(rows)
