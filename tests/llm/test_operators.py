@@ -69,9 +69,11 @@ def test_exact_groups(docs, rows, empty):
 
 def test_bloom_filter_never_misses(spark):
     df = spark.range(3000).selectExpr("id % 1500 as k", "cast(id % 1500 as string) as digest").unionByName(spark.range(5000, 9000).selectExpr("id as k", "cast(id as string) as digest"))
-    marked = exact_dedup.mark_repeated(df, "digest", 1 << 20)
-    assert marked.where("k < 1500 and not maybe").count() == 0
-    assert marked.where("k >= 5000 and maybe").count() < 400
+    for sent in (None, 0):  # bitmaps sent to the rows, or joined by shard
+        marked = exact_dedup.mark_repeated(df, "digest", 7000, sent)
+        assert marked.where("k < 1500 and not maybe").count() == 0
+        assert marked.where("k >= 5000 and maybe").count() < 400
+        assert marked.count() == df.count() and marked.columns == [*df.columns, "maybe"]
 
 
 def brute_spans(text: str):
@@ -90,14 +92,15 @@ def brute_spans(text: str):
 
 
 def test_secrets(docs, rows, empty):
-    owners = defaultdict(set)
+    owners, repos = defaultdict(set), defaultdict(set)
     for r in rows:
         for _, _, v in brute_spans(r[1] or "")[1]:
             owners[v].add(r[3] or "")
+            repos[v].add((r[3] or "", r[2] or ""))
     want = {}
     for r in rows:
         base, values = brute_spans(r[1] or "")
-        live = sorted({(s, 3, "live", e) for s, e, v in values if len(owners[v]) < secrets.EXAMPLE_OWNERS})
+        live = sorted({(s, 3, "live", e) for s, e, v in values if len(owners[v]) < secrets.EXAMPLE_OWNERS and len(repos[v]) < secrets.EXAMPLE_REPOS})
         join = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
         n = Counter(k for _, _, k, _ in base)
         want[r[0]] = (n["assign"], n["access"], n["hex"], sha(join(base)), join(sorted(base + live)))
@@ -312,7 +315,7 @@ def test_near_classes(spark, empty):
             rows.append((len(rows), " ".join(w)))
     rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "three word text"), (len(rows) + 3, "Three  word text")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("band", docs_lit("x"))
-    want = brute_classes(rows, near_dup.word_idf(docs))
+    want = brute_classes(rows, near_dup.shingle_idf(docs))
     got = by_id(near_dup.near_classes(docs), "class_id", "class_size", "kept")
     size = Counter(want.values())
     assert got == {k: (v, size[v], k == v) for k, v in want.items()}
@@ -332,7 +335,7 @@ def test_variants_without_their_base(spark, monkeypatch):
                 w[8 * at + 4] = f"g{g}x{at}"
             rows.append((len(rows), " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    want = brute_classes(rows, near_dup.word_idf(docs))
+    want = brute_classes(rows, near_dup.shingle_idf(docs))
     for block in (1024, 100):
         monkeypatch.setattr(near_dup, "BLOCK", block, raising=False)
         got = by_id(near_dup.near_classes(docs), "class_id")
