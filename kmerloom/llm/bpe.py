@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from kmerloom.llm.tokens import Memo, byte_letters, chunks_of, heavy, share_vocabulary, text_slices, words_of
 
 WORD_END = "</w>"
-_PAIRS = 500_000
+_PAIRS = 1_000_000
+#: Words, and chunks, in one generation of a memo; an encoding is dearer here than what remembering it takes.
+REMEMBERED = 300_000
 _NEVER = 1 << 30
 
 
@@ -113,7 +115,7 @@ class PrefixEncoder:
         self._fits: dict[int, bool] = {}
         self._library, self._from_letters = Tokenizer.from_str(vocabulary), letters
         self._special_values = {s: self._value([i]) for s, i in self.special.items()}
-        self.words, self.chunks = Memo(self._words), Memo(self._chunks)
+        self.words, self.chunks = Memo(self._words, REMEMBERED), Memo(self._chunks, REMEMBERED)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of both tokens' bytes is the two tokens.
