@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.tables import materialise, maybe_in, with_groups, without
-from kmerloom.llm.tokens import drop_heavy, once, text_slices
+from kmerloom.llm.tables import materialise, maybe_in, small_batches, with_groups, without
+from kmerloom.llm.tokens import drop_heavy, once, text_slices, trim
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 5
@@ -206,7 +206,9 @@ def shingle_idf(docs: DataFrame) -> np.ndarray:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = docs.select("text").mapInArrow(count, schema).repartition(tasks, "segment").mapInArrow(add, schema)
     n, df = 0, np.zeros((SEGMENTS, part))
-    for r in parts.collect():  # SEGMENTS + 1 rows, 8 MB at most
+    with small_batches(docs.sparkSession):
+        counted = parts.collect()  # SEGMENTS + 1 rows, 8 MB at most
+    for r in counted:
         if r["segment"] < 0:
             n = r["n"]
         else:
@@ -361,6 +363,8 @@ def crossed(met: DataFrame, sets: DataFrame, texts: DataFrame, idf: np.ndarray)
             yield batch_of(out)
         if len(rows) > 1:
             yield batch_of(cell_links(band, rows))
+        del rows
+        trim()
 
     return dealt.mapInArrow(run, "a long, b long")
 
