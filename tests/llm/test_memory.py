@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from kmerloom.llm import tables, tokens
+from kmerloom.llm import near_dup, tables, tokens
 
 
 def test_workers_get_small_batches_of_texts(spark):
@@ -54,3 +54,11 @@ def test_memo_computes_what_it_does_not_hold_once():
     assert memo.values(["a", "c", "b"]) == ["A", "C", "B"] and asked == ["b", "a", long, "c"]
     assert memo.values([long, "c", "d"]) == [long.upper(), "C", "D"] and asked[4:] == [long, "d"]
     assert memo.values([]) == []
+
+
+def test_near_classes_count_shingles_in_small_batches(spark, monkeypatch):
+    used = []
+    held = tables.small_batches
+    monkeypatch.setattr(near_dup, "small_batches", lambda s: used.append(1) or held(s))
+    near_dup.shingle_idf(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"))
+    assert used == [1]
