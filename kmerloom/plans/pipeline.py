@@ -25,12 +25,9 @@ class Groups:
 
 
 def variant_groups(proteins: DataFrame, n_species: int, p: Params) -> Groups:
-    segs = kmers.segments(proteins, p.recode)
+    segs = kmers.segments(proteins, p.recode, p.k)
     need = p.min_needed(n_species)
-    common = kmers.shared(kmers.occupancy(segs, p.k), need)
-    hits = anchors.boundaries(kmers.shared_hits(segs, common, p.k))
-    pairs = anchors.anchor_pairs(anchors.clustered_starts(hits.where("is_start")), hits.where("is_end"), p.k, p.length_middle)
-    obs = cut(anchors.observations(segs, pairs, p.k))
+    obs = cut(anchors.observed(segs, p.k, need, p.length_middle))
     support = groups.length_support(obs)
     cands = cut(groups.candidates(support, need, p.k))
     chosen = groups.selected(obs, cands)
