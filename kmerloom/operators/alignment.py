@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kmerloom.functions.flat import ends_of, flat, strings
 from kmerloom.operators.consensus import GROUP, column_majority, column_report, masked_rows
 from kmerloom.params import Params
-from kmerloom.plans.checkpoints import cut
+from kmerloom.plans.checkpoints import cut, small
 
 #: Groups that are numbered by one task; ranges of so many about are numbered side by side.
 RANGE = 1 << 16
@@ -19,9 +25,8 @@ def kept_columns(rows: DataFrame, groups: DataFrame, p: Params, n_species: int)
     ``rows`` are masked; species without a row are missing in all columns of
     the group. Groups without such a polymorphic column have no row.
     """
-    there = rows.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("there"))
     absent = F.lit(n_species) - F.col("there")
-    fine = column_report(rows, p.recode).join(groups.select(*GROUP, "raw_len").join(there, GROUP), GROUP).where(F.col("missing") + absent <= p.max_missing(n_species))
+    fine = column_report(rows, p.recode).join(groups.select(*GROUP, "raw_len"), GROUP).where(F.col("missing") + absent <= p.max_missing(n_species))
     right = F.col("raw_len") - p.k
     middle = fine.where((F.col("col") >= p.k) & (F.col("col") < right))
     ends = middle.where("n_states > 1").groupBy(*GROUP).agg(F.min("col").alias("first"), F.max("col").alias("last"))
@@ -34,8 +39,24 @@ def group_columns(rows: DataFrame, groups: DataFrame, p: Params, n_species: int)
     """(group, sid, seq): the kept columns of each row, after masking."""
     masked = masked_rows(rows, column_majority(rows, p.recode), p.mask, p.recode)
     cols = kept_columns(masked, groups, p, n_species).groupBy(*GROUP).agg(F.array_sort(F.collect_list("col")).alias("cols"))  # raw_len at most
-    seq = F.array_join(F.transform("cols", lambda c: F.col("block").substr(c + 1, F.lit(1))), "")
-    return masked.join(cols, GROUP).select(*GROUP, "sid", seq.alias("seq"))
+    schema = T.StructType([*(rows.schema[n] for n in (*GROUP, "sid")), T.StructField("seq", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, ends = flat(batch.column(3))
+            sizes, at = np.diff(batch.column(4).offsets.to_numpy()), batch.column(4).flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            row, at = row[at < np.diff(ends)[row]], at[at < np.diff(ends)[row]]
+            seq = strings(data[ends[row] + at], ends_of(np.bincount(row, minlength=len(sizes))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], seq], names=schema.names)
+
+    return masked.join(small(cut(cols)), GROUP).select(*GROUP, "sid", "block", "cols").mapInArrow(run, schema)
+
+
+def reachable(rows: DataFrame, coverage: DataFrame, p: Params, n_species: int) -> DataFrame:
+    """``rows`` of the groups that can keep a column at all: ``coverage`` (group, coverage) species have them, the others are missing everywhere."""
+    enough = coverage.where(F.lit(n_species) - F.col("coverage") <= p.max_missing(n_species)).select(*GROUP)
+    return rows.join(small(enough), GROUP, "left_semi")
 
 
 def ranked(groups: DataFrame) -> DataFrame:
@@ -73,7 +94,7 @@ def aligned(columns: DataFrame, parts: DataFrame, species: DataFrame) -> DataFra
     """
     total = parts.agg(F.coalesce(F.max("end_pos") + 1, F.lit(0)).cast("int").alias("total"))
     piece = F.struct(F.col("start_pos").cast("int").alias("at"), (F.col("end_pos") + 1).cast("int").alias("end"), "seq")
-    own = columns.join(parts.select(*GROUP, "start_pos", "end_pos"), GROUP).groupBy("sid").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    own = columns.join(small(parts.select(*GROUP, "start_pos", "end_pos")), GROUP).groupBy("sid").agg(F.array_sort(F.collect_list(piece)).alias("p"))
     rows = species.select("sid").join(own, "sid", "left").crossJoin(F.broadcast(total))  # the total is one row
     end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("p", F.greatest(i, F.lit(1)))["end"])
     filled = F.transform("p", lambda x, i: F.concat(F.repeat(F.lit("-"), x["at"] - end_before(i)), x["seq"]))
@@ -82,7 +103,15 @@ def aligned(columns: DataFrame, parts: DataFrame, species: DataFrame) -> DataFra
     return rows.select("sid", F.coalesce(seq, F.repeat(F.lit("-"), F.col("total"))).alias("seq"))
 
 
+def gaps(seq: Column | str) -> Column:
+    """Gaps and ambiguous residues."""
+    return F.length(seq) - F.length(F.translate(seq, "-X", ""))
+
+
+def percent(missing: Column, size: Column) -> Column:
+    return F.lit(100.0) * missing / F.greatest(size, F.lit(1))
+
+
 def missing_percent(alignment: DataFrame) -> DataFrame:
     """(sid, pct_missing) with gaps and ambiguous residues."""
-    gaps = F.length("seq") - F.length(F.translate("seq", "-X", ""))
-    return alignment.select("sid", (F.lit(100.0) * gaps / F.greatest(F.length("seq"), F.lit(1))).alias("pct_missing"))
+    return alignment.select("sid", percent(gaps("seq"), F.length("seq")).alias("pct_missing"))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
 
 from kmerloom.functions import flat, recode
-from kmerloom.operators import anchors, kmers
+from kmerloom.operators import alignment, anchors, consensus, kmers
+from kmerloom.params import Params
+from kmerloom.plans import queries
 
 LETTERS = recode.LETTERS
 
@@ -100,3 +103,116 @@ def test_observations_equal_those_of_joins(long_segments, monkeypatch, clustered
         with monkeypatch.context() as m:
             m.setattr(kmers, "DENSE", 0)
             assert rows == bag(anchors.observed(long_segments, k, need, middle, clustered)) and rows
+
+
+STATE = dict(zip(LETTERS, recode.SCHEMES["sr6"], strict=True))
+
+
+def test_blocks_have_all_residues(spark):
+    texts = odd_texts(random.Random(5), 100)
+    want = []
+    for i, t in enumerate(texts):
+        aa = "".join(c.upper() if c in LETTERS.lower() else c for c in t or "" if c in LETTERS + LETTERS.lower())
+        want += [("s", n, i, aa[at : at + 7].ljust(7, "-")) for n, at in enumerate(range(0, len(aa), 7))]
+    got = consensus.blocks(spark.createDataFrame([("s", i, t) for i, t in enumerate(texts)], "lk string, sid long, text string"), 7)
+    assert "Generate" not in plan_of(got) and bag(got) == sorted(want)
+
+
+@pytest.fixture(scope="module")
+def many_rows(spark):
+    """Rows of groups whose rows are of one length, some of a null group; held by several tasks."""
+    rnd = random.Random(6)
+    rows = []
+    for g in range(12):
+        base = "".join(rnd.choice(LETTERS) for _ in range(rnd.choice([1, 6, 14])))
+        for _ in range(rnd.randint(1, 60)):
+            rows.append((rnd.choice(["a", "b"]) if g else None, g, rnd.randint(0, 5), "".join(rnd.choice(LETTERS + "-XB") if rnd.random() < 0.05 else c for c in base)))
+    return rows, spark.createDataFrame(rows, "lk string, rk int, sid long, block string").repartition(5).cache()
+
+
+@pytest.mark.parametrize("held", [(1 << 20, 1 << 17), (300, 1 << 17), (1 << 20, 3)])
+def test_rows_of_a_species_are_merged_before_they_are_sent(many_rows, monkeypatch, held):
+    monkeypatch.setattr(consensus, "HELD", held[0])
+    monkeypatch.setattr(consensus, "KEYS", held[1])
+    rows, df = many_rows
+    own = defaultdict(list)
+    for lk, rk, sid, block in rows:
+        own[lk, rk, sid].append(block)
+    want = {(*k, "".join(c[0] if len(set(c)) == 1 else "X" for c in zip(*v, strict=True))) for k, v in own.items()}
+    got = consensus.observed_rows(df)
+    assert "Generate" not in plan_of(got)  # no row is made for a residue
+    assert len(rows) > len(want) and {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 2_000])
+def test_columns_are_counted_before_they_are_sent(many_rows, monkeypatch, held):
+    monkeypatch.setattr(consensus, "HELD", held)
+    rows, df = many_rows
+    own = defaultdict(list)
+    for lk, rk, _, block in rows:
+        own[lk, rk].append(block)
+    report, majority, letters = set(), set(), set()
+    for key, blocks in own.items():
+        columns = list(zip(*blocks, strict=True))
+        best = lambda votes: min(votes, key=lambda x: (-votes[x], x)) if votes else "."
+        majority.add((*key, "".join(best(Counter(STATE[c] for c in col if c in STATE)) for col in columns)))
+        letters.add((*key, "".join(best(Counter(c for c in col if c in STATE)) for col in columns).replace(".", "")))
+        report |= {(*key, n, sum(c in "-X" for c in col), len({STATE[c] for c in col if c in STATE}), len(col)) for n, col in enumerate(columns)}
+    for got, want in ((consensus.column_report(df, "sr6"), report), (consensus.column_majority(df, "sr6"), majority), (consensus.column_letters(df), letters)):
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "col" not in plan_of(consensus.column_majority(df, "sr6")).replace("collect", "")  # one matrix a group is dealt out
+
+
+def test_masking_sends_the_majorities(many_rows):
+    rows, df = many_rows
+    majority = consensus.column_majority(df, "sr6")
+    of = {(r["lk"], r["rk"]): r["majority"] for r in majority.collect()}
+    want = []
+    for lk, rk, sid, block in rows:
+        differs = "".join("1" if c in STATE and m != "." and STATE[c] != m else "0" for c, m in zip(block, of[lk, rk], strict=True))
+        want += [(lk, rk, sid, "X" * len(block) if "1" in differs else block)] * (lk is not None)
+    got = consensus.masked_rows(df, majority, 1, "sr6")
+    assert "BroadcastHashJoin" in plan_of(got) and "SortMergeJoin" not in plan_of(got)
+    assert bag(got) == sorted(want) and any("XX" in w[3] for w in want)
+
+
+def test_only_groups_that_can_keep_a_column_are_looked_at(spark):
+    p, rnd = Params(k=1, mask=0, min_freq=0.6), random.Random(7)
+    rows = [(1, g, sid, "".join(rnd.choice("GKEW") for _ in range(6))) for g in range(5) for sid in range(10) if sid < 8 - g]
+    df = spark.createDataFrame(rows, "lk long, rk long, sid int, block string")
+    groups = df.groupBy("lk", "rk").count().withColumnRenamed("count", "coverage").selectExpr("*", "6 as raw_len")
+    near = alignment.reachable(df, groups, p, 10)
+    assert {r["rk"] for r in near.collect()} == {0, 1}  # 8 and 7 of 10
+    assert bag(alignment.kept_columns(near, groups, p, 10)) == bag(alignment.kept_columns(df, groups, p, 10)) != []
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_words_of_half_the_names(spark, monkeypatch, sent):
+    """Names of one record count once; whatever part of the names a task holds."""
+    monkeypatch.setattr(consensus, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(consensus, "KEYS", 40)
+    rnd, rows = random.Random(8), []
+    for i in range(240):
+        words = rnd.sample(["heat", "shock", "factor", "of\xa0x", "ß"], rnd.randint(0, 5)) + [f"w{rnd.randint(0, 99)}" for _ in range(rnd.randint(0, 4))]
+        rows.append((rnd.choice(["a", None]), 0, rnd.choice([0, None]), i // 2 if i < 40 else i, 0, 0, f"id{i} {rnd.choice([' ', chr(9), ''])}" + rnd.choice([" ", "\t ", "\n"]).join(words)))
+    # the rule, one name at a time
+    want = {}
+    for g in ("a", None):
+        names = [(r[2:6], re.sub(r"^[^ \t\n\x0b\f\r]+", "", r[6].strip(" ")).strip(" ")) for r in rows if r[0] == g]
+        names = [(at, re.split(r"[ \t\n\x0b\f\r]+", rest)) for at, rest in names if rest]
+        first: dict = {}
+        for at, words in names:
+            for pos, w in enumerate(words):
+                first[at, w] = min(first.get((at, w), pos), pos)
+        votes = defaultdict(list)
+        for (at, w), pos in first.items():
+            votes[w].append(((tuple(-1 if x is None else x for x in at), pos), pos))
+        kept = [(Fraction(sum(p for _, p in v), len(v)), min(a for a, _ in v), w) for w, v in votes.items() if 2 * len(v) >= len(names)]
+        want[g] = " ".join(w for _, _, w in sorted(kept))
+    named = spark.createDataFrame(rows, "lk string, rk int, sid int, protein_id long, seg_id int, start int, name string").repartition(4)
+    got = consensus.consensus_names(named)
+    assert {r["lk"]: r["label"] for r in got.collect()} == {"a": want["a"]} and want["a"]
+
+
+def test_missing_percent_holds_no_rows(spark):
+    assert "collect_list" not in plan_of(queries.missing_percent(spark, "/root/testdata/sf0.001"))
