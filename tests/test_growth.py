@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from kmerloom.functions import flat, recode
-from kmerloom.operators import alignment, anchors, consensus, kmers
+from kmerloom.operators import alignment, anchors, consensus, kmers, orf
 from kmerloom.params import Params
 from kmerloom.plans import queries
 
@@ -216,3 +216,25 @@ def test_words_of_half_the_names(spark, monkeypatch, sent):
 
 def test_missing_percent_holds_no_rows(spark):
     assert "collect_list" not in plan_of(queries.missing_percent(spark, "/root/testdata/sf0.001"))
+
+
+def test_composition_needs_the_first_contigs_only(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(rnd.choice([0, 1, 2]), i, None if rnd.random() < 0.1 else "".join(rnd.choice("ACGTN") for _ in range(rnd.randint(0, 40)))) for i in range(400)]
+    want = {}
+    for sid in range(3):
+        head = "".join(s or "" for g, _, s in rows if g == sid)[:200]
+        valid = sum(c in "ACGT" for c in head)
+        want[sid] = (pytest.approx(sum(c in "GC" for c in head) / valid), pytest.approx(valid / len(head)))
+    df = spark.createDataFrame(rows, "sid int, contig_id long, seq string").repartition(4)
+    monkeypatch.setattr(orf, "GC_SAMPLE", 200)
+    assert orf._heads(df).count() < 200
+    for held in (1 << 20, 100):
+        monkeypatch.setattr(orf, "HELD", held)
+        assert {r["sid"]: (r["gc"], r["acgt"]) for r in orf.genome_composition(df).collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(orf.predict(df))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan  # contigs stay where they are
