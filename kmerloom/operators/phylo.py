@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kmerloom.functions.recode import LETTERS
 
@@ -21,12 +24,24 @@ def pairwise_distances(alignment: DataFrame, scale: float = LG_SCALE) -> DataFra
 
     Pairs of species are the result itself; nothing smaller would do.
     """
-    a = alignment.select(F.col("sid").alias("i"), F.split(F.translate("seq", "-X", "  "), "").alias("x"))
-    b = alignment.select(F.col("sid").alias("j"), F.split(F.translate("seq", "-X", "  "), "").alias("y"))
-    letters = F.lit(LETTERS)
-    both = F.filter(F.arrays_zip("x", "y"), lambda s: (s["x"] != "") & (s["x"] != " ") & (s["y"] != " ") & letters.contains(s["x"]) & letters.contains(s["y"]))
-    pairs = a.join(b, F.col("i") < F.col("j")).withColumn("s", both)
-    counted = pairs.select("i", "j", F.size("s").alias("valid"), F.size(F.filter("s", lambda s: s["x"] != s["y"])).alias("mismatches"))
+    a, b = (alignment.select(F.col("sid").alias(i), F.col("seq").alias(x)) for i, x in (("i", "x"), ("j", "y")))
+    residue = np.zeros(256, bool)
+    residue[[ord(c) for c in LETTERS]] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for x, y in zip(*(batch.column(c).cast(pa.binary()) for c in (2, 3)), strict=True):  # a pair at a time, from where it lies
+                x, y = (np.frombuffer(s.as_buffer(), np.uint8) for s in (x, y))
+                n = min(len(x), len(y))
+                valid = residue[x[:n]] & residue[y[:n]]
+                counts.append((int(valid.sum()), int((valid & (x[:n] != y[:n])).sum())))
+            valid, mismatches = np.array(counts, np.int32).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(valid), pa.array(mismatches)], names=["i", "j", "valid", "mismatches"])
+
+    schema = T.StructType([T.StructField(n, alignment.schema["sid"].dataType) for n in ("i", "j")] + [T.StructField(n, T.IntegerType()) for n in ("valid", "mismatches")])
+    pairs = a.join(b, F.col("i") < F.col("j")).select("i", "j", "x", "y")
+    counted = pairs.mapInArrow(run, schema)
     share = F.least(F.col("mismatches") / F.col("valid") / scale, F.lit(LIMIT))
     return counted.withColumn("d", F.when(F.col("valid") == 0, F.lit(0.0)).otherwise(-F.log(F.lit(1.0) - share)))
 

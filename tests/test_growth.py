@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from kmerloom.functions import flat, recode
-from kmerloom.operators import alignment, anchors, consensus, kmers, orf
+from kmerloom.operators import alignment, anchors, consensus, kmers, orf, phylo
 from kmerloom.params import Params
 from kmerloom.plans import queries
 
@@ -238,3 +238,16 @@ def test_composition_needs_the_first_contigs_only(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan  # contigs stay where they are
+
+
+def test_distances_of_uneven_rows(spark):
+    rnd = random.Random(10)
+    rows = [(i, "".join(rnd.choice(LETTERS[:4] + "-XB") for _ in range(30 + i))) for i in range(5)] + [(9, "")]
+    want = []
+    for i, x in rows:
+        for j, y in rows:
+            if i < j:
+                both = [(a, b) for a, b in zip(x, y, strict=False) if a in LETTERS and b in LETTERS]
+                want.append((i, j, len(both), sum(a != b for a, b in both)))
+    got = phylo.pairwise_distances(spark.createDataFrame(rows, "sid int, seq string"))
+    assert "arrays_zip" not in plan_of(got) and bag(got.select("i", "j", "valid", "mismatches")) == want
